@@ -38,6 +38,25 @@ class Design:
         self.doc, self.word, self.value, self.n_docs = doc, word, value, n_docs
         self.n_words = len(lists)
 
+    def select(self, share: np.ndarray, least: float = 30.0) -> None:
+        """Keep the features that tell documents with a high ``share`` (0 to 1) from the others: those whose
+        occurrences in both differ from the overall ratio by a log-likelihood ratio of ``least`` or more."""
+        value, self.value = self.value, np.ones(len(self.value))
+        one, zero = self.transposed(share), self.transposed(1 - share)
+        a, b = one.sum(), zero.sum()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = lambda n, e: np.where(n > 0, n * np.log(n / e), 0)
+            ratio = 2 * (part(one, (one + zero) * a / (a + b)) + part(zero, (one + zero) * b / (a + b)))
+        keep = ratio >= least
+        # words without such a feature drop out of the matrix
+        new = np.cumsum(keep) - 1
+        mine = keep[self.place]
+        self.used, self.place, self.of = self.used[keep], new[self.place[mine]], self.of[mine]
+        has = np.zeros(self.n_words, bool)
+        has[self.of] = True
+        rows = has[self.word]
+        self.doc, self.word, self.value = self.doc[rows], self.word[rows], value[rows]
+
     def times(self, w: np.ndarray) -> np.ndarray:
         words = np.bincount(self.of, w[self.place], self.n_words)
         return np.bincount(self.doc, words[self.word] * self.value, self.n_docs)
@@ -47,26 +66,23 @@ class Design:
         return np.bincount(self.place, words[self.of], len(self.used))
 
 
-def fit(design: Design, loss: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], extra: np.ndarray, rounds: int = 120, rate: float = 0.3, sparse: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights over ``design.used`` and parameters ``extra`` that lower a mean loss with an L1 penalty on the weights.
+def fit(design: Design, loss: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], extra: np.ndarray, rounds: int = 400, rate: float = 0.1, shrink: float = 3e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Weights over ``design.used`` and parameters ``extra`` that lower a mean loss with a squared penalty on the weights.
 
-    ``loss(scores, extra)`` returns the gradients by score (per document) and by extra parameter, of the sum.  Steps are
-    proximal and scaled by coordinate (AdaGrad); nothing is random.
+    ``loss(scores, extra)`` returns the gradients by score (per document) and by extra parameter, of the sum.  Full
+    gradients, Adam's steps with a rate that falls to zero; nothing is random.
     """
-    n = max(1, design.n_docs)
-    w, squares = np.zeros(len(design.used)), np.full(len(design.used), 1e-12)
-    extra, extra_squares = extra.astype(float), np.full(len(extra), 1e-12)
-    for _ in range(rounds):
-        by_score, by_extra = loss(design.times(w), extra)
-        g = design.transposed(by_score) / n
-        squares += g * g
-        step = rate / np.sqrt(squares)
-        w = w - step * g
-        w = np.sign(w) * np.maximum(0, np.abs(w) - step * sparse)
-        g = by_extra / n
-        extra_squares += g * g
-        extra = extra - rate * g / np.sqrt(extra_squares)
-    return w, extra
+    n, k = max(1, design.n_docs), len(design.used)
+    x = np.concatenate([np.zeros(k), extra.astype(float)])
+    mean, square = np.zeros(len(x)), np.zeros(len(x))
+    for t in range(1, rounds + 1):
+        by_score, by_extra = loss(design.times(x[:k]), x[k:])
+        g = np.concatenate([design.transposed(by_score), by_extra]) / n
+        g[:k] += shrink * x[:k]
+        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
+        step = rate * (1 - t / (rounds + 1)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-6)
+        x = x - step * mean / (1 - 0.9**t)
+    return x[:k], x[k:]
 
 
 class Scorer:

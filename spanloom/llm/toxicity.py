@@ -2,8 +2,8 @@
 
 Severity grades 0 < 1 < ... < K-1 share one weight vector; ``P(grade > k) = sigmoid(score - threshold[k])`` with ordered
 thresholds.  The expected severity is the sum of these probabilities.  Tables that know only toxic or not get their
-grades from the text: a toxic document is of grade 2 if the share of words that are typical of toxic documents is above
-the toxic documents' median, else of grade 1.
+grades from the text: a toxic document is of grade 2 if it holds more of the words that are typical of toxic documents
+(by the sum of the values that the features have) than the median toxic document, else of grade 1.
 
 The model is fitted on the driver from a sample of at most ``TRAIN_ROWS`` labelled documents; scoring runs on all rows.
 """
@@ -75,6 +75,7 @@ def fit_ordinal(vocabulary, doc, word, value, grades: np.ndarray) -> OrdinalMode
         share = min(max(k and 1 - 1e-6, 1e-6), 1 - 1e-6)
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.array([math.log((1 - share) / share)] * max(1, k)))
     design = Design(vocabulary, doc, word, value, n)
+    design.select((grades > 0).astype(float))
     above = [min(max((grades > i).mean(), 1e-4), 1 - 1e-4) for i in range(k)]
     cuts = np.log([(1 - p) / p for p in above])
     extra = np.concatenate([[cuts[0]], np.log(np.maximum(np.diff(cuts), 0.1))])
@@ -84,7 +85,7 @@ def fit_ordinal(vocabulary, doc, word, value, grades: np.ndarray) -> OrdinalMode
     return OrdinalModel(design.used[used], w[used], cuts)
 
 
-def grades_from_text(toxic: np.ndarray, doc: np.ndarray, word: np.ndarray, counts: np.ndarray, n_vocabulary: int) -> np.ndarray:
+def grades_from_text(toxic: np.ndarray, doc: np.ndarray, word: np.ndarray, value: np.ndarray, n_vocabulary: int) -> np.ndarray:
     """Grades 0, 1, 2 of documents that are toxic or not (see the module's text)."""
     grades = toxic.astype(np.int64)
     bad = toxic[doc] > 0
@@ -92,10 +93,9 @@ def grades_from_text(toxic: np.ndarray, doc: np.ndarray, word: np.ndarray, count
     in_good = np.bincount(word[~bad], minlength=n_vocabulary)
     rate = (in_bad + 0.1) / max(1, toxic.sum()) / ((in_good + 0.1) / max(1, (1 - toxic).sum()))
     typical = (rate > 20) & (in_bad >= 2)
-    n = np.bincount(doc, counts, len(toxic))
-    share = np.bincount(doc, counts * typical[word], len(toxic)) / np.maximum(1, n)
+    mass = np.bincount(doc, value * typical[word], len(toxic))
     if toxic.any():
-        grades[(toxic > 0) & (share > np.median(share[toxic > 0]))] = 2
+        grades[(toxic > 0) & (mass > np.median(mass[toxic > 0]))] = 2
     return grades
 
 
@@ -127,9 +127,9 @@ def _trained(got) -> OrdinalModel:
     doc, word = np.repeat(np.arange(len(lists)), sizes), codes.indices.to_numpy()
     counts = got["counts"].combine_chunks().flatten().to_numpy().astype(float)
     grades = np.maximum(0, got["grade"].to_numpy().astype(np.int64)) if len(lists) else np.zeros(0, np.int64)
-    if grades.max(initial=0) == 1:
-        grades = grades_from_text(grades, doc, word, counts, len(codes.dictionary))
     value = 1 + np.log(np.maximum(1, counts))
+    if grades.max(initial=0) == 1:
+        grades = grades_from_text(grades, doc, word, value, len(codes.dictionary))
     return fit_ordinal(codes.dictionary.to_pylist(), doc, word, value, grades)
 
 

@@ -21,6 +21,8 @@ from ._common import in_arrow, uniform
 from .hashed import Design, Scorer, fit, sigmoid
 
 TRAIN_ROWS, SEED, KEEP = 6_000, 6, 0.5
+#: Texts of fewer words are judged as if they had so many, by their shape more than by their words.
+SHORT = 50
 _SYMBOLS = re.compile(r"[#*$%&|<>]+")
 #: Frequent words of the languages of the corpus.
 _STOP = frozenset(
@@ -75,7 +77,7 @@ def _shape_words(s: dict[str, float]) -> list[str]:
     """Shape figures as words that no text has (they hold a space)."""
     out = [f"{k} {int(min(9, 10 * s[k]))}" for k in ("capitals", "runs", "ends", "copies")]
     out += [f"{k} {int(min(9, 20 * s[k]))}" for k in ("symbols", "shouts", "bars", "stop")]
-    return [*out, f"variety {int(min(9, 4 * s['variety']))}", f"length {int(min(16, s['length']))}"]
+    return [*out, f"size {min(12, int(s['n']).bit_length())}", f"variety {int(min(9, 4 * s['variety']))}", f"length {int(min(16, s['length']))}"]
 
 
 def _read(text: str | None) -> tuple[Counter, dict[str, float]]:
@@ -150,7 +152,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
     def read(batches):
         for b in batches:
             got = [_read(t) for t in b["text"].to_pylist()]
-            yield {"at": b["at"], "target": [of.get(_code(votes(s)), 0.5) for _, s in got], "words": [[*c, *_shape_words(s)] for c, s in got], "counts": [[*c.values(), *[0] * 10] for c, _ in got]}
+            yield {"at": b["at"], "target": [of.get(_code(votes(s)), 0.5) for _, s in got], "words": [[*c, *_shape_words(s)] for c, s in got], "counts": [[*c.values(), *[0] * 11] for c, _ in got]}
 
     sample = in_arrow(picked, read, "at long, target double, words array<string>, counts array<int>").orderBy("at", F.size("words")).limit(rows)
     got = sample.toArrow().combine_chunks()
@@ -160,9 +162,10 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
     doc = np.repeat(np.arange(len(lists)), sizes)
     n = got["counts"].combine_chunks().flatten().to_numpy().astype(float)
     whole = np.bincount(doc, n, len(lists))
-    value = np.where(n > 0, 4 * n / np.maximum(1, whole)[doc], 1.0)
+    value = np.where(n > 0, 4 * n / np.maximum(SHORT, whole)[doc], 1.0)
     target = got["target"].to_numpy()
     design = Design(names.dictionary.to_pylist(), doc, names.indices.to_numpy(), value, len(lists))
+    design.select(target, 10)
 
     def loss(score, extra):
         g = sigmoid(score + extra[0]) - target
@@ -181,7 +184,7 @@ def _rater(model: QualityModel):
         word = scorer.word
         for t in texts:
             counts, s = _read(t)
-            total = sum([n * x for w, n in counts.items() if (x := word(w))]) * 4 / max(1, s["n"])
+            total = sum([n * x for w, n in counts.items() if (x := word(w))]) * 4 / max(SHORT, s["n"])
             out.append(float(sigmoid(model.bias + total + sum(map(word, _shape_words(s))))))
         return out
 
