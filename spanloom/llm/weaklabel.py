@@ -89,26 +89,26 @@ def _read(text: str | None) -> tuple[Counter, dict[str, float]]:
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """EM over vote patterns: the posterior of good for each, and each labeller's accuracy where it votes.
 
-    Labellers are taken as independent given the class.  It starts from the mean vote, which says which class is good.
+    Labellers are taken as independent given the class, and where one votes as saying nothing about it.  It starts from the mean vote, which says which class is good.
     """
     if not len(patterns):
         return np.zeros(0), np.zeros(0)
     total = counts.sum()
     post = np.clip(0.5 + 0.5 * patterns.mean(1), 0.05, 0.95)
-    onehot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)  # pattern, labeller, vote
+    onehot = np.stack([patterns == v for v in (-1, 1)], 2).astype(float)  # pattern, labeller, vote
     for _ in range(rounds):
         prior = np.clip((counts * post).sum() / total, 0.01, 0.99)
         rate = []
         for p in (1 - post, post):
-            m = np.einsum("p,plv->lv", counts * p, onehot) + np.array([0.5, 0.5, 0.5])
+            m = np.einsum("p,plv->lv", counts * p, onehot) + 0.5
             rate.append(m / m.sum(1, keepdims=True))
         bad, good = (np.einsum("plv,lv->p", onehot, np.log(r)) for r in rate)
         new = sigmoid(np.log(prior / (1 - prior)) + good - bad)
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
-    right = np.einsum("p,pl->l", counts * post, onehot[:, :, 2]) + np.einsum("p,pl->l", counts * (1 - post), onehot[:, :, 0])
-    voted = np.einsum("p,pl->l", counts, onehot[:, :, 0] + onehot[:, :, 2])
+    right = np.einsum("p,pl->l", counts * post, onehot[:, :, 1]) + np.einsum("p,pl->l", counts * (1 - post), onehot[:, :, 0])
+    voted = np.einsum("p,pl->l", counts, onehot[:, :, 0] + onehot[:, :, 1])
     return post, right / np.maximum(1, voted)
 
 
