@@ -22,6 +22,8 @@ from ._common import checkpointed, fresh, in_arrow, stored
 from .components import connected_components
 
 WIDTH, BANDS, ROWS, SIMILARITY = 9, 8, 4, 0.8
+#: Characters that are hashed at a time: the arrays stay in a core's cache.
+CHARS = 1 << 16
 #: Lines of a block of a key's lines.
 BLOCK = 256
 #: Bits of the filter that keeps most lines that no other resembles from being shuffled; 8 MB whatever the input.
@@ -61,12 +63,27 @@ def _shingles(lines: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndar
 
 def signatures(lines: list[str]) -> np.ndarray:
     """MinHash band keys, a row of ``BANDS`` for each (non-empty) line."""
-    h, starts = _shingles(lines)
-    out = np.empty((len(lines), BANDS), np.uint64)
+    return np.concatenate([_signed(*_shingles(part)) for part in _parts(lines)]) if lines else np.empty((0, BANDS), np.uint64)
+
+
+def _parts(lines: list[str]) -> Iterator[list[str]]:
+    """Some lines at a time, of about ``CHARS`` characters."""
+    at = 0
+    while at < len(lines):
+        stop, chars = at, 0
+        while stop < len(lines) and chars < CHARS:
+            chars += len(lines[stop])
+            stop += 1
+        yield lines[at:stop]
+        at = stop
+
+
+def _signed(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    out, mixed = np.empty((len(starts), BANDS), np.uint64), np.empty_like(h)
     for b in range(BANDS):
-        key = np.full(len(lines), b + 1, np.uint64)
+        key = np.full(len(starts), b + 1, np.uint64)
         for r in range(ROWS):
-            low = np.minimum.reduceat(h * _A[b * ROWS + r], starts)
+            low = np.minimum.reduceat(np.multiply(h, _A[b * ROWS + r], out=mixed), starts)
             key = (key ^ (low >> np.uint64(17))) * np.uint64(0x9FB21C651E98DF25)
             key ^= key >> np.uint64(31)
         out[:, b] = key
@@ -89,7 +106,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             while at < len(ids):
                 doc, key, no, names, new = [], [], [], [], []
                 chars = 0
-                while at < len(ids) and chars < 1 << 19:
+                while at < len(ids) and chars < 16 * CHARS:
                     text = b["text"][at].as_py()
                     mark = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - 2**63
                     for i, line in _of(text):
@@ -183,10 +200,20 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return in_arrow(docs.select(F.col("text").cast("string")), run, "id binary, text string")
 
 
+def _sets(lines: list[str]) -> Iterator[np.ndarray]:
+    """Each line's set of shingles, sorted."""
+    for some in _parts(lines):
+        h, starts = _shingles(some)
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(h)]):
+            part = np.sort(h[lo:hi])
+            yield part[np.concatenate([[True], part[1:] != part[:-1]])]
+
+
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
     if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    joined = np.sort(np.concatenate([a, b]), kind="stable")  # merges the two sorted runs
+    both = int(np.count_nonzero(joined[1:] == joined[:-1]))
     return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
@@ -204,14 +231,13 @@ def _verified(batches: Iterator[dict]) -> Iterator[dict]:
         return i
 
     for b in batches:
-        rows = zip(*(b[c].to_pylist() for c in ("key", "x", "y", "block", "id", "text")))
-        for key, x, y, block, name, text in rows:
+        rows = zip(*(b[c].to_pylist() for c in ("key", "x", "y", "block", "id")), _sets(b["text"].to_pylist()))
+        for key, x, y, block, name, mine in rows:
             if (key, x, y) != at:
                 at, members, parent, last = (key, x, y), [], [], None
             if name == last:
                 continue
             last = name
-            mine = np.unique(_shingles([text])[0])
             me = len(members)
             members.append((block, name, mine))
             parent.append(me)
