@@ -15,6 +15,7 @@ import functools
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import regex
 from pyspark.sql import DataFrame
@@ -35,18 +36,21 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, filter(bytes.strip, lines))}
-        self.tokens = {r: t for t, r in self.ranks.items()}
+        self.tokens: list[bytes | None] = [None] * (1 + max(self.ranks.values()))
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
+        self.names = list(map(str, range(len(self.tokens))))
         self.pattern = regex.compile(pattern)
-        self._known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def piece(self, text: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
-        if (got := self._known.get(text)) is None:
+        if (got := self.known.get(text)) is None:
             got = self._merge(text.encode())
             if len(text) <= 64:
-                if len(self._known) >= REMEMBERED:
-                    self._known.clear()
-                self._known[text] = got
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[text] = got
         return got
 
     def _merge(self, data: bytes) -> tuple[int, ...]:
@@ -54,12 +58,16 @@ class Codec:
             return (whole,)
         if len(data) > 200:
             return _merge_long(data, self.ranks)
-        parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, ranks, none = [data[i : i + 1] for i in range(len(data))], self.ranks, 1 << 60
+        pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) != none:
+            i = pairs.index(best)  # the leftmost of equal ranks
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
         return tuple(ranks[p] for p in parts)
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
@@ -151,25 +159,17 @@ def codec(path: str, pattern: str) -> Codec:
 
 def _digest(c: Codec, pieces: Iterator[str], ids_too: bool = False) -> dict:
     """Figures of a text's ids and of the bytes that they decode to; the ids of a block of pieces at a time."""
-    n, names, back, ids, first = 0, hashlib.sha256(), hashlib.sha256(), [], True
-    block: list[int] = []
-
-    def flush() -> None:
-        nonlocal n, first
-        if block:
-            n += len(block)
-            names.update((("" if first else ",") + ",".join(map(str, block))).encode())
-            back.update(c.decode(block))
-            first = False
-            if ids_too:
-                ids.extend(block)
-            block.clear()
-
-    for p in pieces:
-        block += c.piece(p)
-        if len(block) >= 8192:
-            flush()
-    flush()
+    n, names, back, ids = 0, hashlib.sha256(), hashlib.sha256(), []
+    while some := list(islice(pieces, 8192)):
+        got = list(map(c.known.get, some))
+        if None in got:
+            got = [c.piece(p) if g is None else g for p, g in zip(some, got)]
+        block = list(chain.from_iterable(got))
+        names.update((("," if n else "") + ",".join(map(c.names.__getitem__, block))).encode())
+        back.update(c.decode(block))
+        n += len(block)
+        if ids_too:
+            ids += block
     return {"n_tokens": n, "ids_sha256": names.hexdigest(), "decoded_sha256": back.hexdigest(), "ids": ids}
 
 
