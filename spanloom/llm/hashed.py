@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -30,13 +31,14 @@ class Design:
     """A sparse document-by-feature matrix, kept as documents by words and words by features."""
 
     def __init__(self, vocabulary: Sequence[str], doc: np.ndarray, word: np.ndarray, value: np.ndarray, n_docs: int):
-        lists = [features(w) for w in vocabulary]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        places = np.fromiter((p for f in lists for p in f), np.int64, int(sizes.sum()))
+        self.n_words = len(vocabulary)
+        # as many as features() gives; lists of them would take much more memory than their numbers
+        sizes = np.fromiter((1 if " " in w else max(1, len(w)) for w in vocabulary), np.int64, self.n_words)
+        places = np.fromiter(chain.from_iterable(map(features, vocabulary)), np.int32, int(sizes.sum()))
         self.used, self.place = np.unique(places, return_inverse=True)
-        self.of = np.repeat(np.arange(len(lists)), sizes)
+        self.place = self.place.astype(np.int32)
+        self.of = np.repeat(np.arange(self.n_words, dtype=np.int32), sizes)
         self.doc, self.word, self.value, self.n_docs = doc, word, value, n_docs
-        self.n_words = len(lists)
 
     def select(self, share: np.ndarray, least: float = 30.0) -> None:
         """Keep the features that tell documents with a high ``share`` (0 to 1) from the others: those whose
