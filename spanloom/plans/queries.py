@@ -206,6 +206,11 @@ def html_sections(spark, d):
     return C.html_sections(_t(spark, d, "pages"))
 
 
+@query()
+def html_sections_budget(spark, d):
+    return C.html_sections(_t(spark, d, "pages"), max_tokens=64)
+
+
 @query()
 def html_heading_paths(spark, d):
     return C.heading_paths(C.html_sections(_t(spark, d, "pages")), "page_id")
@@ -218,13 +223,22 @@ def html_plain_text(spark, d):
     return _t(spark, d, "pages").select("page_id", F.md5(T.plain_html(F.col("html")).cast("binary")).alias("text_md5"))
 
 
-@query()
-def markdown_sections(spark, d):
+def _markdown(spark, d):
     """Markdown made of conversations: a heading for each turn, its level by role."""
     c = _t(spark, d, "conversations")
     mark = F.when(F.col("role") == "user", "# ").when(F.col("role") == "assistant", "## ").otherwise("### ")
     md = L.joined(c.select("conv_id", "turn", F.concat(mark, F.lit("Turn "), F.col("turn").cast("string"), F.lit("\n"), F.col("text")).alias("text")), "conv_id", "turn", "text")
-    return C.markdown_sections(md.select(F.col("conv_id").alias("doc_id"), "text"))
+    return md.select(F.col("conv_id").alias("doc_id"), "text")
+
+
+@query()
+def markdown_sections(spark, d):
+    return C.markdown_sections(_markdown(spark, d))
+
+
+@query()
+def markdown_sections_budget(spark, d):
+    return C.markdown_sections(_markdown(spark, d), max_tokens=32)
 
 
 # --- embedding chunkers: an embedding label is a document, its vectors in order are the sentences

@@ -114,6 +114,20 @@ def test_markdown_sections(spark):
     assert all(md[r.start : r.end].strip() for r in got)
 
 
+def test_sections_within_a_budget(spark):
+    md = "# A\none two. three four.\n\nfive six seven\n## B\nb " + "w" * 5000
+    whole, cut = (C.markdown_sections(docs(spark, md), n).orderBy("chunk_index").collect() for n in (None, 4))
+    assert [md[r.start : r.end] for r in cut] == ["# A\none two.", "three four.", "five six seven", "## B\nb " + "w" * 5000]
+    assert [(r.header_path, r.level) for r in cut] == [("A", 1)] * 3 + [("A/B", 2)] and len(whole) == 2
+    html = "<h1>T</h1>\n<p>a b c</p>\n<p>d e</p>\n<h2>U</h2>x"
+    pages = spark.createDataFrame([(1, html), (2, "<h1>z</h1>"), (3, None), (4, "")], "page_id int, html string")
+    got = C.heading_paths(C.html_sections(pages, max_tokens=3), "page_id").orderBy("page_id", "chunk_index").collect()
+    assert [(r.page_id, html[r.start : r.end], r.path) for r in got if r.page_id == 1] == [(1, "<h1>T</h1>", "T"), (1, "<p>a b c</p>", "T"), (1, "<p>d e</p>", "T"), (1, "<h2>U</h2>x", "T / U")]
+    assert [(r.chunk_index, r.start, r.end, r.title) for r in got if r.page_id == 2] == [(0, 0, 10, "z")] and {r.page_id for r in got} == {1, 2}
+    with pytest.raises(ValueError):
+        C.html_sections(pages, max_tokens=0)
+
+
 def test_clustered_splits_at_largest_gaps(spark):
     angles = [0, 0.1, 0.2, 1.2, 1.3, 2.9]
     rows = spark.createDataFrame([(1, i, [math.cos(a), math.sin(a)]) for i, a in enumerate(angles)], "doc long, pos long, vec array<double>")
