@@ -1,8 +1,9 @@
 """Fuzzy line dedup: MinHash of character shingles, banding, exact Jaccard verification, distributed union-find.
 
 Lines are cut at ``\\n``; those with a word take part.  Equal lines share a 128-bit id, so only different lines are
-compared.  A line's signature has 8 bands of 4 minima over its shingles of 9 characters; at a Jaccard similarity of 0.8
-two lines share a band with probability 0.985, at 0.9 with 0.9999.  Lines that share a band key are compared exactly, by
+compared.  A line's signature has 8 bands of 4 minima over its shingles of 5 characters (one changed character costs 5 of them, so
+it is bridged from 49 characters on); at a Jaccard similarity of 0.8 two lines share a band with probability 0.985, at
+0.9 with 0.9999.  Lines that share a band key are compared exactly, by
 their sets of shingles.  A key with many lines is dealt out as pairs of blocks of at most about ``BLOCK`` lines, so that
 no task gathers it; within a pair, a line is compared with a component only until it has joined it, and only a spanning
 forest leaves.  Of each component of similar lines the first line in the order of (doc_id, line number) stays.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ._common import checkpointed, fresh, in_arrow, stored
 from .components import connected_components
 
-WIDTH, BANDS, ROWS, SIMILARITY = 9, 8, 4, 0.8
+WIDTH, BANDS, ROWS, SIMILARITY = 5, 8, 4, 0.8
 #: Characters that are hashed at a time: the arrays stay in a core's cache.
 CHARS = 1 << 16
 #: Lines of a block of a key's lines.

@@ -428,6 +428,27 @@ def test_banding_recall():
     assert n > 100 and hit >= 0.97 * n
 
 
+def test_line_dedup_links_short_edits(spark):
+    """One-word edits of lines of 49 to 90 characters whose sets of 5-character shingles are at 0.8 or more."""
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pairs = []
+    while len(pairs) < 60:
+        w = ["".join(r.choice(letters) for _ in range(r.randrange(2, 7))) for _ in range(r.randrange(10, 17))]
+        w[r.randrange(1, len(w) - 1)] = "1998"
+        a = " ".join(w)
+        b = a.replace("1998", "1999")
+        if len(a) > 90:
+            continue
+        narrow, wide = (len(x & y) / len(x | y) for x, y in (({t[i : i + n] for i in range(len(t) - n + 1)} for t in (a, b)) for n in (5, 9)))
+        if narrow >= 0.8 and wide < 0.8:
+            pairs.append((a, b))
+    assert min(len(a) for a, _ in pairs) < 60
+    docs = spark.createDataFrame([(2 * i + k, x, "en", "a", 0) for i, p in enumerate(pairs) for k, x in enumerate(p)], DOCS)
+    gone = {x.doc_id for x in linededup.line_decisions(docs).where("size(removed) > 0").collect()}
+    assert gone <= {2 * i + 1 for i in range(len(pairs))} and len(gone) >= 0.95 * len(pairs)  # banding may miss one at the threshold
+
+
 # --- 8 URL filters
 
 
