@@ -136,6 +136,16 @@ def test_clustered_splits_at_largest_gaps(spark):
     assert C.tiled_boundaries(rows, 3).count() == 0  # six sentences, blocks of three
 
 
+def test_clustered_cuts_at_percentile_of_each_document(spark):
+    small = [0, 0.01, 0.02, 0.12, 0.13, 0.14]  # all distances far below 0.9
+    large = [0, 1.8, 3.6, 5.4, 7.9, 9.7]  # all above
+    rows = [(d, i, [math.cos(a), math.sin(a)]) for d, angles in ((1, small), (2, large), (3, [0.5])) for i, a in enumerate(angles)]
+    rows = spark.createDataFrame(rows, "doc long, pos long, vec array<double>")
+    got = {tuple(r) for r in C.clustered(rows).collect()}
+    assert got == {(1, 0, 2), (1, 3, 5), (2, 0, 3), (2, 4, 5), (3, 0, 0)}
+    assert C.clustered(rows, percentile=100).count() == 3
+
+
 # --- spans
 
 
