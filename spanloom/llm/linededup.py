@@ -11,7 +11,8 @@ forest leaves.  Of each component of similar lines the first line in the order o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ CHARS = 1 << 16
 BLOCK = 256
 #: Bits of the filter that keeps most lines that no other resembles from being shuffled; 8 MB whatever the input.
 FILTER_BITS = 26
-_A = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) * (i * i + 3)) % 2**64 | 1 for i in range(BANDS * ROWS)], np.uint64)
+_A = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) * (i * i + 3)) % 2**64 | 1 for i in range(16 * ROWS)], np.uint64)
 _P = np.uint64(0x100000001B3)
 _SPACES = " \t\n\v\f\r"
 
@@ -79,9 +80,10 @@ def _parts(lines: list[str]) -> Iterator[list[str]]:
         at = stop
 
 
-def _signed(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    out, mixed = np.empty((len(starts), BANDS), np.uint64), np.empty_like(h)
-    for b in range(BANDS):
+def _signed(h: np.ndarray, starts: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """Band keys (16 bands at most) of sets of hashes that begin at ``starts``."""
+    out, mixed = np.empty((len(starts), bands), np.uint64), np.empty_like(h)
+    for b in range(bands):
         key = np.full(len(starts), b + 1, np.uint64)
         for r in range(ROWS):
             low = np.minimum.reduceat(np.multiply(h, _A[b * ROWS + r], out=mixed), starts)
@@ -133,13 +135,13 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, text_key long, line int, id binary, bands binary")
 
 
-def _shared_keys(occurrences: DataFrame) -> DataFrame:
+def _shared_keys(occurrences: DataFrame, bands: int = BANDS) -> DataFrame:
     """(key, id) of the band keys that two or more different lines have."""
 
     def spread(batches):
         for b in batches:
             keys = np.frombuffer(b"".join(b["bands"].to_pylist()), np.int64)
-            yield {"key": keys, "id": b["id"].take(pa.array(np.repeat(np.arange(len(b["id"])), BANDS)))}
+            yield {"key": keys, "id": b["id"].take(pa.array(np.repeat(np.arange(len(b["id"])), bands)))}
 
     def runs(batches):
         first = None  # (key, id) of the run's first line, until a second comes
@@ -166,8 +168,8 @@ def _shared_keys(occurrences: DataFrame) -> DataFrame:
     return in_arrow(rows, runs, "key long, id binary")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, text) of lines, all of those in ``wanted`` among them, some more than once.
+def _texts(docs: DataFrame, wanted: DataFrame, pieces: Callable = _of) -> DataFrame:
+    """(id, text) of lines (or other pieces of a text), all of those in ``wanted`` among them, some more than once.
 
     A filter of a fixed size keeps most others back; where it is full, all lines come, and the join that follows is
     exact all the same.
@@ -186,7 +188,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for lo in range(0, len(b["text"]), 256):
                 ids, lines = [], []
                 for text in b["text"].slice(lo, 256).to_pylist():
-                    for _, line in _of(text):
+                    for _, line in pieces(text):
                         name = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
                         place = (int.from_bytes(name[:8], "big") >> 4) & (2**FILTER_BITS - 1)
                         if bits[place >> 5] >> (place & 31) & 1 and name not in seen:
@@ -210,15 +212,15 @@ def _sets(lines: list[str]) -> Iterator[np.ndarray]:
             yield part[np.concatenate([[True], part[1:] != part[:-1]])]
 
 
-def _similar(a: np.ndarray, b: np.ndarray) -> bool:
-    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+def _similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
     joined = np.sort(np.concatenate([a, b]), kind="stable")  # merges the two sorted runs
     both = int(np.count_nonzero(joined[1:] == joined[:-1]))
-    return both >= SIMILARITY * (len(a) + len(b) - both)
+    return both >= least * (len(a) + len(b) - both)
 
 
-def _verified(batches: Iterator[dict]) -> Iterator[dict]:
+def _verified(batches: Iterator[dict], sets: Callable = _sets, least: float = SIMILARITY) -> Iterator[dict]:
     """Edges (a, b) from rows (key, x, y, block, id, text) sorted by (key, x, y, id): of block pairs of a key."""
     at = last = None
     members: list[tuple[int, bytes, np.ndarray]] = []
@@ -232,7 +234,7 @@ def _verified(batches: Iterator[dict]) -> Iterator[dict]:
         return i
 
     for b in batches:
-        rows = zip(*(b[c].to_pylist() for c in ("key", "x", "y", "block", "id")), _sets(b["text"].to_pylist()))
+        rows = zip(*(b[c].to_pylist() for c in ("key", "x", "y", "block", "id")), sets(b["text"].to_pylist()))
         for key, x, y, block, name, mine in rows:
             if (key, x, y) != at:
                 at, members, parent, last = (key, x, y), [], [], None
@@ -244,7 +246,7 @@ def _verified(batches: Iterator[dict]) -> Iterator[dict]:
             parent.append(me)
             # the latest first: neighbours of one component mostly resemble each other
             for i in range(me - 1, -1, -1):
-                if (x == y or members[i][0] != block) and root(i) != root(me) and _similar(mine, members[i][2]):
+                if (x == y or members[i][0] != block) and root(i) != root(me) and _similar(mine, members[i][2], least):
                     parent[root(me)] = root(i)
                     out.append((name, members[i][1]))
         if out:
@@ -254,18 +256,23 @@ def _verified(batches: Iterator[dict]) -> Iterator[dict]:
 
 def similar_lines(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(node, root): line ids and the least id of their component, for lines that are similar to a different one."""
-    shared = checkpointed(_shared_keys(occurrences))
+    return connected_components(linked(docs, occurrences))
+
+
+def linked(docs: DataFrame, occurrences: DataFrame, pieces: Callable = _of, sets: Callable = _sets, bands: int = BANDS, least: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) of ids, enough to connect all pieces whose sets are similar, from (id, bands) of each piece."""
+    shared = checkpointed(_shared_keys(occurrences, bands))
     groups = shared.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))
     # keys of one set of lines need one comparison
     groups = groups.groupBy("n", "s").agg(F.min("key").alias("key")).select("key", "n")
     shared = checkpointed(shared.join(groups, "key"))
-    text = _texts(docs, shared.select("id").distinct())
+    text = _texts(docs, shared.select("id").distinct(), pieces)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = shared.join(text, "id").select("key", "id", "text", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "text")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
-    return connected_components(in_arrow(rows, _verified, "a binary, b binary"))
+    return in_arrow(rows, partial(_verified, sets=sets, least=least), "a binary, b binary")
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:

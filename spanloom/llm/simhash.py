@@ -22,23 +22,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary, checkpointed, fresh, in_arrow
+from . import linededup
+from ._common import binary, checkpointed, fresh, in_arrow, stored
 from .components import connected_components
 
 SEED, BITS = 42, 3
 #: Fingerprints under one key of two segments beyond which the key takes a third.
 HOT = 4096
+#: MinHash bands of a text where links by similarity are asked for.
+DOC_BANDS = 16
 _U = np.uint64
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """SimHash of a text's word shingles (ASCII-lower-cased; XXH64, seed 42); 0 without a word."""
+def _hashes(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of a text's word shingles, ASCII-lower-cased; a text of fewer words has one, itself."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, _U)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
-    n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), _U, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), _U, max(1, len(words) - width + 1))
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """SimHash of a text's word shingles (ASCII-lower-cased; XXH64, seed 42); 0 without a word."""
+    return _folded(_hashes(text, width))
+
+
+def _folded(hashes: np.ndarray) -> int:
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 14):
         ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -190,10 +203,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _labelled(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _labelled(docs: DataFrame, fps: DataFrame | None = None) -> DataFrame:
+def _labelled(docs: DataFrame, fps: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+    """``fps`` with each fingerprint's component; ``more`` has links (a, b) beyond those of few differing bits."""
     rows = checkpointed(fingerprints(docs)) if fps is None else fps
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    member = connected_components(links(distinct)).select(F.col("node").alias("fp"), "root")
+    edges = links(distinct) if more is None else links(distinct).unionAll(more)
+    member = connected_components(edges).select(F.col("node").alias("fp"), "root")
     member = member.unionByName(member.select("root").distinct().select(F.col("root").alias("fp"), "root")).join(distinct, "fp")
     whole = member.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = member.join(whole, "root").select("fp", "root", "component_id")
@@ -201,23 +216,62 @@ def _labelled(docs: DataFrame, fps: DataFrame | None = None) -> DataFrame:
     return rows.join(known, "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def _whole(text: str | None) -> Iterator[tuple[int, str]]:
+    """A text with a word as the one piece of itself."""
+    if text and text.encode("utf-8", "surrogatepass").split():
+        yield 0, text
+
+
+def _similar_texts(docs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the fingerprints of texts whose sets of word shingles have that Jaccard similarity or more."""
+
+    def sets(texts: list[str]) -> Iterator[np.ndarray]:
+        return (np.unique(_hashes(t.encode("utf-8", "surrogatepass"), width)) for t in texts)
+
+    edges = checkpointed(linededup.linked(docs, rows, _whole, sets, DOC_BANDS, similarity))
+    of = rows.where("bands is not null").select("id", "fp")
+    of = checkpointed(of.join(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").distinct())
+    a, b = of.select(F.col("id").alias("a"), F.col("fp").alias("x")), of.select(F.col("id").alias("b"), F.col("fp").alias("y"))
+    return edges.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
+def keep_one(docs: DataFrame, width: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that represent their near-duplicate group, with all columns of ``docs``.
 
-    Of each group the row of the least doc_id stays (null doc_ids last; of that doc_id's texts in the group, the least
-    MD5), once even if the row is repeated.
+    Texts link whose fingerprints, of shingles of ``width`` words, are within three bits.  That stands for far more than
+    a Jaccard similarity of 0.8, so with ``similarity`` texts also link whose sets of shingles are that similar: MinHash
+    bands (16 of 4: a pair at 0.8 shares one with probability 0.9998) bring them together, and the sets are compared
+    exactly.  Of each group the row of the least doc_id stays (null doc_ids last; of that doc_id's texts in the group,
+    the least MD5), once even if the row is repeated.
     """
     mark = fresh(docs.columns, "text_key")
     keyed = docs.withColumn(mark, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t) for t in binary(b["text"])), _U, len(b["text"]))
-            yield {"doc_id": b["doc_id"], "text_key": b["text_key"], "fp": pa.array(fps.view(np.int64))}
+            texts = binary(b["text"])
+            at = 0
+            while at < len(texts):
+                some, n, lo = [], 0, at
+                while at < len(texts) and n < linededup.CHARS:
+                    some.append(_hashes(texts[at], width))
+                    n += len(some[-1])
+                    at += 1
+                out = {c: b[c].slice(lo, at - lo) for c in ("doc_id", "text_key")}
+                out["fp"] = pa.array(np.fromiter(map(_folded, some), _U, len(some)).view(np.int64))
+                out["id"] = out["bands"] = [None] * len(some)
+                if similarity is not None and n:
+                    full = [i for i, h in enumerate(some) if len(h)]
+                    starts = np.cumsum([0, *(len(some[i]) for i in full[:-1])])
+                    out["id"], out["bands"] = [None] * len(some), [None] * len(some)
+                    for i, row in zip(full, linededup._signed(np.concatenate(some), starts, DOC_BANDS)):
+                        out["id"][i], out["bands"][i] = xxhash.xxh3_128_digest(texts[lo + i]), row.tobytes()
+                yield out
 
     slim = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(mark).alias("text_key"))
-    rows = checkpointed(in_arrow(slim, run, "doc_id long, text_key string, fp long"))
-    labelled = _labelled(docs, rows)
+    rows = stored(in_arrow(slim, run, "doc_id long, text_key string, fp long, id binary, bands binary"))
+    more = None if similarity is None else _similar_texts(docs, rows, width, similarity)
+    labelled = _labelled(docs, rows.select("doc_id", "text_key", "fp"), more)
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), F.col("doc_id").isNull(), F.col("text_key"))
     best = labelled.groupBy("root").agg(F.min(order).alias("o"))
     best = best.select(F.when(~F.col("o.col2"), F.col("o.col1")).alias("_doc"), F.col("o.text_key").alias("_key"))

@@ -229,6 +229,27 @@ def test_simhash_keeps_one(docs):
     assert Counter((r.doc_id, hashlib.md5((r.text or "").encode()).hexdigest()) for r in kept.collect()) == want
 
 
+def test_keep_one_links_similarity(spark):
+    """Pairs of texts at five-word Jaccard 0.8 or more, most of them more than three bits apart, leave one text each."""
+    r = random.Random(14)
+    pairs, bits = [], []
+    while len(pairs) < 40:
+        a = sentence(r, r.randrange(60, 200)).split()
+        b = list(a)
+        for _ in range(r.randrange(1, 4)):
+            b[r.randrange(len(b))] = "changed"
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        if len(x & y) >= 0.8 * len(x | y):
+            pairs.append((" ".join(a), " ".join(b)))
+            bits.append((simhash.fingerprint(pairs[-1][0].encode(), 5) ^ simhash.fingerprint(pairs[-1][1].encode(), 5)).bit_count())
+    assert sum(n > 3 for n in bits) > 20
+    unlike = [sentence(r, 80) for _ in range(10)] + ["", None, "  "]
+    texts = [t for p in pairs for t in p] + unlike
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)
+    kept = {x.doc_id for x in simhash.keep_one(clashing(docs), width=5, similarity=0.8).collect()}
+    assert kept == {2 * i for i in range(len(pairs))} | {2 * len(pairs) + i for i in range(11)}
+
+
 # --- 3 top-k
 
 
