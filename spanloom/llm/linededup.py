@@ -100,7 +100,8 @@ def _of(text: str | None) -> Iterator[tuple[int, str]]:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line, id, bands) for each line; ``bands`` is null where a task met the line before."""
+    """(doc_id, text_key, line, id, bands, size) for each line; ``bands`` and ``size``, its number of different shingles,
+    are null where a task met the line before."""
 
     def run(batches):
         seen: set[bytes] = set()
@@ -125,46 +126,52 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                             new.append((len(names) - 1, line))
                     chars += len(text or "")
                     at += 1
-                bands = [None] * len(names)
+                bands, size = [None] * len(names), [None] * len(names)
                 if new:
-                    for (i, _), row in zip(new, signatures([line for _, line in new])):
-                        bands[i] = row.tobytes()
+                    part = [line for _, line in new]
+                    for (i, _), row, mine in zip(new, signatures(part), _sets(part)):
+                        bands[i], size[i] = row.tobytes(), len(mine)
                 if names:
-                    yield {"doc_id": doc, "text_key": key, "line": no, "id": names, "bands": bands}
+                    yield {"doc_id": doc, "text_key": key, "line": no, "id": names, "bands": bands, "size": size}
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, text_key long, line int, id binary, bands binary")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, text_key long, line int, id binary, bands binary, size int")
 
 
-def _shared_keys(occurrences: DataFrame, bands: int = BANDS) -> DataFrame:
-    """(key, id) of the band keys that two or more different lines have."""
+def _shared_keys(occurrences: DataFrame, bands: int = BANDS, least: float = SIMILARITY) -> DataFrame:
+    """(key, id) of the band keys that two or more different lines have whose sizes allow that similarity.
+
+    In order of size, a line that has no line of a size near enough beside it has none at all under its key.
+    """
 
     def spread(batches):
         for b in batches:
             keys = np.frombuffer(b"".join(b["bands"].to_pylist()), np.int64)
-            yield {"key": keys, "id": b["id"].take(pa.array(np.repeat(np.arange(len(b["id"])), bands)))}
+            at = pa.array(np.repeat(np.arange(len(b["id"])), bands))
+            yield {"key": keys, "size": b["size"].take(at), "id": b["id"].take(at)}
 
     def runs(batches):
-        first = None  # (key, id) of the run's first line, until a second comes
         key = last = None
+        size, out = 0, False  # of the line before, and whether it has left
         for b in batches:
             ks, ids, names = [], [], b["id"].to_pylist()
-            for k, i in zip(b["key"].to_pylist(), names):
+            for k, n, i in zip(b["key"].to_pylist(), b["size"].to_pylist(), names):
                 if k != key:
-                    key, last, first = k, i, i
+                    key, last, size, out = k, i, n, False
                 elif i != last:
-                    if first is not None:
+                    near = size >= least * n
+                    if near:
+                        if not out:
+                            ks.append(k)
+                            ids.append(last)
                         ks.append(k)
-                        ids.append(first)
-                        first = None
-                    ks.append(k)
-                    ids.append(i)
-                    last = i
+                        ids.append(i)
+                    last, size, out = i, n, near
             if ks:
                 yield {"key": ks, "id": ids}
 
-    rows = in_arrow(occurrences.where("bands is not null").select("id", "bands"), spread, "key long, id binary")
+    rows = in_arrow(occurrences.where("bands is not null").select("id", "bands", "size"), spread, "key long, size int, id binary")
     # a key with one row is the rule: singles leave in order of the key alone
-    rows = rows.repartition("key").sortWithinPartitions("key", "id")
+    rows = rows.repartition("key").sortWithinPartitions("key", "size", "id")
     return in_arrow(rows, runs, "key long, id binary")
 
 
@@ -260,8 +267,8 @@ def similar_lines(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, occurrences: DataFrame, pieces: Callable = _of, sets: Callable = _sets, bands: int = BANDS, least: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) of ids, enough to connect all pieces whose sets are similar, from (id, bands) of each piece."""
-    shared = checkpointed(_shared_keys(occurrences, bands))
+    """Edges (a, b) of ids, enough to connect all pieces whose sets are similar, from (id, bands, size) of each."""
+    shared = checkpointed(_shared_keys(occurrences, bands, least))
     groups = shared.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))
     # keys of one set of lines need one comparison
     groups = groups.groupBy("n", "s").agg(F.min("key").alias("key")).select("key", "n")

@@ -43,6 +43,28 @@ def test_line_stage_matches_brute_force(stages):
     assert sum((got & kept).values()) >= 0.99 * sum(kept.values())  # banding may miss a pair at the threshold
 
 
+def test_line_stage_matches_brute_force_of_its_width(stages):
+    import xxhash
+    from spanloom.llm.linededup import WIDTH
+    from test_operators import classes
+
+    lines = [(d.doc_id, xxhash.xxh64_intdigest((d.text or "").encode()) - 2**63, i, x) for d in stages[1].collect() for i, x in enumerate((d.text or "").split("\n")) if x.strip(" \t\n\v\f\r")]
+    lines = sorted(set(lines))
+    sets = [{x[-1][i : i + WIDTH] for i in range(max(1, len(x[-1]) - WIDTH + 1))} for x in lines]
+    near = [(i, j) for i in range(len(lines)) for j in range(i) if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    seen, gone = set(), set()
+    for line, c in zip(lines, classes(len(lines), near)):
+        if c in seen:
+            gone.add(line[:3])
+        seen.add(c)
+    kept = Counter()
+    for d in stages[1].collect():
+        key = xxhash.xxh64_intdigest((d.text or "").encode()) - 2**63
+        kept[d.doc_id, "\n".join(x for i, x in enumerate(d.text.split("\n")) if (d.doc_id, key, i) not in gone)] += 1
+    got = Counter((d.doc_id, d.text) for d in stages[2].collect())
+    assert sum((got & kept).values()) >= 0.99 * sum(kept.values())  # banding may miss a pair at the threshold
+
+
 def test_near_stage_matches_brute_force(stages):
     from test_operators import brute_components, brute_fingerprint
 
