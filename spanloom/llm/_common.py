@@ -20,28 +20,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared checkpoint folder, so that lost executors cost no recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a new one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: that of the session's ``spark.checkpoint.dir``.  Where that is unset, a local master (tests)
+    gets a new folder of its own; on a cluster it is an error, as executors do not share a machine's folders."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared checkpoint folder, so that lost executors cost no recomputation."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to a new folder beside the checkpoints and read again: as :func:`checkpointed`, for wide
     rows of which later steps read some columns.  The folder stays until the shared folder is cleared."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Copies of a row that one task makes at a time.
+COPIES = 4096
+
+
+def numbered_copies(rows: DataFrame, copies: str, number: str, keys: list[str]) -> DataFrame:
+    """``rows`` as often as the column ``copies`` says, numbered from 0; the copies of a row, one of ``keys``, are dealt
+    over tasks in parts of ``COPIES``."""
+    head = "_" + number
+    parts = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(COPIES).cast("long"))).alias(head))
+    upto = F.least(F.col(copies), F.col(head) + COPIES) - 1
+    return parts.repartition(*keys, head).select("*", F.explode(F.sequence(F.col(head), upto)).alias(number)).drop(head)
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """``name``, lengthened until it differs from every taken column name (Spark ignores case)."""
     used = {x.lower() for x in taken}

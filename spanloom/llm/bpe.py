@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import in_arrow
+from ._common import in_arrow, numbered_copies
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Characters past its end that a match may have looked at: one for the white-space rule, two for the contractions.
@@ -177,7 +177,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, ch
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for each row of ``docs`` (doc_id, text; others ignored).
 
     A null or empty text has no tokens; its digests are those of no bytes.  Special tokens' strings are ordinary text.
-    Repeated rows are returned as often as they come.  ``path`` must be readable on every executor.
+    Repeated rows are returned as often as they come; a long text that repeats is walked once.  ``path`` must be readable
+    on every executor.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     long = F.length("text") > chunk + overlap
@@ -198,21 +199,21 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, ch
             yield b | {"ends": [c.ends(t) for t in b["part"].to_pylist()]}
 
     def stitch(group):
-        """One text's chunks; a row that came k times has k of each chunk."""
+        """One text's chunks."""
+        import pyarrow as pa
+
         c = codec(path, pattern)
         rows = sorted(zip(group["at"].to_pylist(), group["part"].to_pylist(), group["ends"].to_pylist()), key=lambda r: r[0])
-        copies = sum(r[0] == 0 for r in rows)
-        rows = rows[::copies]
         text = "".join(r[1][:chunk] for r in rows)
         got = _digest(c, c.stitched(text, [(r[0], r[2]) for r in rows], chunk, overlap), with_ids)
-        one = {"doc_id": [group["doc_id"][0].as_py()]} | {k: [got[k]] for k in names[1:]}
-        import pyarrow as pa
-
-        return pa.table({k: v * copies for k, v in one.items()}, schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * with_ids))
+        kinds = [("doc_id", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * with_ids
+        one = {"doc_id": [group["doc_id"][0].as_py()], "copies": [group["copies"][0].as_py()]} | {k: [got[k]] for k in names[1:]}
+        return pa.table(one, schema=pa.schema(kinds))
 
     short = in_arrow(docs.where(~long), short_rows, schema)
-    cut = docs.where(long).withColumn("text_key", F.sha2("text", 256))
-    cut = cut.select("doc_id", "text_key", F.col("text"), F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))).alias("at"))
-    cut = cut.select("doc_id", "text_key", "at", F.expr(f"substring(text, at + 1, {chunk + overlap})").alias("part"))
-    walked = in_arrow(cut.repartition("text_key", "at"), walk, "doc_id long, text_key string, at int, part string, ends array<int>")
-    return short.unionByName(walked.groupBy("doc_id", "text_key").applyInArrow(stitch, schema))
+    cut = docs.where(long).groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("text_key", F.sha2("text", 256))
+    cut = cut.select("doc_id", "copies", "text_key", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))).alias("at"))
+    cut = cut.select("doc_id", "copies", "text_key", "at", F.expr(f"substring(text, at + 1, {chunk + overlap})").alias("part"))
+    walked = in_arrow(cut.repartition("text_key", "at"), walk, "doc_id long, copies long, text_key string, at int, part string, ends array<int>")
+    stitched = walked.groupBy("doc_id", "text_key").applyInArrow(stitch, schema.replace("doc_id long, ", "doc_id long, copies long, "))
+    return short.unionByName(numbered_copies(stitched, "copies", "copy", ["doc_id", "ids_sha256"]).select(*names))

@@ -101,7 +101,7 @@ def _of(text: str | None) -> Iterator[tuple[int, str]]:
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line, id, bands, size) for each line; ``bands`` and ``size``, its number of different shingles,
-    are null where a task met the line before."""
+    are null where a task met the line before.  A text without lines has one row, of line -1 and a null id."""
 
     def run(batches):
         seen: set[bytes] = set()
@@ -113,6 +113,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 while at < len(ids) and chars < 16 * CHARS:
                     text = b["text"][at].as_py()
                     mark = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - 2**63
+                    before = len(names)
                     for i, line in _of(text):
                         name = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
                         doc.append(ids[at])
@@ -124,6 +125,11 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                                 seen.clear()
                             seen.add(name)
                             new.append((len(names) - 1, line))
+                    if len(names) == before:
+                        doc.append(ids[at])
+                        key.append(mark)
+                        no.append(-1)
+                        names.append(None)
                     chars += len(text or "")
                     at += 1
                 bands, size = [None] * len(names), [None] * len(names)
@@ -283,22 +289,24 @@ def linked(docs: DataFrame, occurrences: DataFrame, pieces: Callable = _of, sets
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_lines, removed): for each distinct (doc_id, text) with a line, its lines with a word and the
-    sorted numbers (from 0, blank lines counted) of those that leave.
+    """(doc_id, text_key, n_lines, removed, kept_in) for each distinct (doc_id, text): its lines with a word, the sorted
+    numbers (from 0, blank lines counted) of those that leave, and for each of these the (doc_id, line) that stays.
 
-    Null and empty texts have no lines.  Rows alike in doc_id and text are one document: they lose the same lines.
-    Null doc_ids come last in the order in which a component's line is chosen.
+    Null, empty and blank texts have no lines and lose none.  Rows alike in doc_id and text are one document: they lose
+    the same lines.  Null doc_ids come last in the order in which a component's line is chosen.
     """
     lines = stored(_occurrences(docs))
     member = similar_lines(docs, lines).withColumnRenamed("node", "id")
     lines = lines.select("doc_id", "text_key", "line", "id").join(member, "id", "left")
     lines = checkpointed(lines.select("doc_id", "text_key", "line", F.coalesce("root", "id").alias("root")))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "line")
-    best = lines.groupBy("root").agg(F.min(place).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best")
-    out = lines.join(best, "root", "left").select("doc_id", "text_key", "line", (F.col("best").isNotNull() & (place != F.col("best"))).alias("leaves"))
+    best = lines.where("root is not null").groupBy("root").agg(F.min(place).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best")
+    leaves = F.when(F.col("best").isNotNull() & (place != F.col("best")), F.struct("line", F.col("best.doc_id").alias("doc_id"), F.col("best.line").alias("kept")))
+    out = lines.join(best, "root", "left").select("doc_id", "text_key", "line", leaves.alias("gone"))
     # identical rows bring a line number more than once
-    out = out.groupBy("doc_id", "text_key").agg(F.count_distinct("line").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("leaves"), F.col("line")))).alias("removed"))
-    return out.select("doc_id", "text_key", "n_lines", "removed")
+    out = out.groupBy("doc_id", "text_key").agg(F.count_distinct(F.when(F.col("line") >= 0, F.col("line"))).alias("n_lines"), F.sort_array(F.collect_set("gone")).alias("gone"))
+    kept = F.transform("gone", lambda g: F.struct(g["doc_id"].alias("doc_id"), g["kept"].alias("line")))
+    return out.select("doc_id", "text_key", "n_lines", F.col("gone.line").alias("removed"), kept.alias("kept_in"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -308,7 +316,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     key, gone = fresh(docs.columns, "text_key"), fresh(docs.columns, "removed")
     names, types = docs.columns, docs.schema
-    d = line_decisions(docs).where("size(removed) > 0").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias(key), F.col("removed").alias(gone))
+    d = line_decisions(docs).select("doc_id", "text_key", "removed").where("size(removed) > 0").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias(key), F.col("removed").alias(gone))
 
     def mark(batches):
         for b in batches:

@@ -109,13 +109,12 @@ def repeated(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float
 
     A document without words is no part of any target; it is kept once.
     """
-    names = [fresh(docs.columns, n) for n in ("size", "key", "s", "times")]
-    size, key, s, times = names
+    size, key, s, times, whole, last = (fresh(docs.columns, n) for n in ("size", "key", "s", "times", "whole", "last"))
     rows = docs.withColumns({size: n_words(docs["text"].cast("string")), key: _key(docs)})
     slim = checkpointed(rows.select(docs["source"].cast("string").alias("source"), F.col(size).alias("size"), F.col(key).alias("key")))
     p = plan(slim, weights, epochs)
-    p = p.select(F.col("source").alias(s), F.col("whole").alias("_whole"), F.col("last_key").alias("_last"))
+    p = p.select(F.col("source").alias(s), F.col("whole").alias(whole), F.col("last_key").alias(last))
     out = rows.join(_small(p), rows["source"].cast("string").eqNullSafe(p[s]))
-    n = F.when(F.col(size) == 0, 1).otherwise(p["_whole"] + F.when(F.col(key) <= p["_last"], 1).otherwise(0))
+    n = F.when(F.col(size) == 0, 1).otherwise(p[whole] + F.when(F.col(key) <= p[last], 1).otherwise(0))
     out = out.withColumn(times, F.explode(F.array_repeat(F.lit(1), n.cast("int"))))
     return out.select(*[out[c] for c in docs.columns])

@@ -18,6 +18,8 @@ URL_RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
+#: Bytes of a shard in the query: small enough that tables of a few megabytes split over several levels too.
+SHARD_BYTES = 256 << 10
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -36,7 +38,7 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assigned(table(spark, sf_dir, "documents"))
+    return sharding.assigned(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +52,9 @@ def op6_weaklabel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.line_decisions(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "text_key", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+    kept = F.transform("kept_in", lambda k: F.concat_ws(":", k["doc_id"], k["line"]))
+    said = F.array_join(F.col("removed").cast("array<string>"), ",")
+    return found.select("doc_id", "text_key", "n_lines", F.size("removed").cast("long").alias("n_removed"), said.alias("removed"), F.array_join(kept, ",").alias("kept_in"))
 
 
 def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +104,10 @@ WITH RECURSIVE d AS (
   UNION ALL
   SELECT s.depth + 1, d.key >> (60 - s.depth - 1), CAST(sum(d.n_bytes) AS BIGINT)
   FROM s JOIN d ON d.key >> (60 - s.depth) = s.prefix
-  WHERE s.shard_bytes > {sharding.LIMIT} AND s.depth < 60 GROUP BY 1, 2
+  WHERE s.shard_bytes > {SHARD_BYTES} AND s.depth < 60 GROUP BY 1, 2
 )
 SELECT doc_id, n_bytes, depth, prefix, CAST(0 AS BIGINT) AS page, shard_bytes
-FROM d JOIN s ON d.key >> (60 - s.depth) = s.prefix WHERE s.shard_bytes <= {sharding.LIMIT}
+FROM d JOIN s ON d.key >> (60 - s.depth) = s.prefix WHERE s.shard_bytes <= {SHARD_BYTES}
 """
 
 _SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
@@ -152,23 +156,45 @@ def _rule_sql(what: str, host: str, path: str) -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
+_LOWERED = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NODE = _LOWERED.format(x="regexp_extract({u}, '(?s)^(.*?://[^/?#]*)', 1)") + " || regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+_HOST = _LOWERED.format(x="regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1)")
+_PATH = "regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 _URLFILTER = rf"""
 WITH RECURSIVE p AS (
-  SELECT page_id, html, url LIKE '%://%' AS sound,
-    CASE WHEN url LIKE '%://%' THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-    CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
-    lower(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1)) || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS node
+  SELECT page_id, html, CASE WHEN url LIKE '%://%' THEN {_HOST.format(u="url")} ELSE '' END AS host,
+    CASE WHEN url LIKE '%://%' THEN {_PATH.format(u="url")} ELSE '' END AS path, CASE WHEN url LIKE '%://%' THEN {_NODE.format(u="url")} END AS node
   FROM pages
+), tags AS (
+  SELECT node AS a, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM p WHERE node IS NOT NULL AND (lower(html) LIKE '%canonical%' OR lower(html) LIKE '%refresh%')
 ), t AS (
-  SELECT node AS a, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM p WHERE sound AND lower(html) LIKE '%canonical%'
-  UNION ALL
-  SELECT node, regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*?\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*[''"]?([^"''\s>]+)', 1) FROM p WHERE sound AND lower(html) LIKE '%refresh%'
+  SELECT a, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\b.*[\s"''/]rel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta\b.*[\s"''/]http-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*["'']?[^"''>]*?url\s*=\s*[''"]?([^"''\s>]+)', 1) END, '&amp;', '&') AS t FROM tags
+), parts AS (
+  SELECT a, t, regexp_extract(a, '(?s)^(.*?://[^/?#]*)', 1) AS site, regexp_extract(t, '(?s)^[^?#]*') AS place, {_PATH.format(u="a")} AS path,
+    coalesce(nullif(regexp_replace({_PATH.format(u="a")}, '[^/]*$', ''), ''), '/') AS directory FROM t WHERE t <> ''
+), wholes AS (
+  SELECT *, CASE WHEN place = '' THEN path WHEN place LIKE '/%' THEN place ELSE directory || place END AS whole FROM parts
+), steps AS (
+  SELECT *, CASE WHEN NOT regexp_matches(whole, '(?:^|/)\.\.?(?:/|$)') THEN whole
+    ELSE list_reduce(string_split(regexp_replace(whole, '^/', ''), '/'), lambda done, x: CASE x WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN '.' THEN done ELSE done || '/' || x END, '')
+      || CASE WHEN regexp_matches(whole, '(?:^|/)\.\.?$') THEN '/' ELSE '' END END AS tidy FROM wholes
+), targets AS (
+  SELECT a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t END
+    WHEN t LIKE '//%' THEN regexp_extract(a, '(?s)^(.*?:)//', 1) || t WHEN t NOT LIKE '#%' THEN site || tidy || substr(t, length(place) + 1) END AS u FROM steps
+), usual AS (
+  SELECT node AS a, regexp_replace(regexp_extract(node, '(?s)^(.*?://)', 1), '^http://$', 'https://') || regexp_replace(host, '^(?:www|m)\.|:(?:80|443)$', '', 'g')
+    || regexp_replace(path, '(?:/index\.html|\.html|/)$', '') AS plain,
+    array_to_string(list_filter(string_split(regexp_extract(node, '(?s)^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref)=')), '&') AS kept
+  FROM p WHERE node IS NOT NULL
 ), e AS (
-  SELECT a, lower(regexp_extract(t, '(?s)^(.*?://[^/?#]*)', 1)) || regexp_extract(t, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b FROM t WHERE t LIKE '%://%'
+  SELECT a, {_NODE.format(u="u")} AS b FROM targets WHERE u LIKE '%://%'
+  UNION SELECT a, plain || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END FROM usual
 ), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(a, b) AS (
   SELECT a, b FROM both_ways UNION SELECT reach.a, n.b FROM reach JOIN both_ways n ON n.a = reach.b
 ), told AS (
-  SELECT a, b, regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1) AS host, regexp_extract(b, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM reach
+  SELECT a, b, {_HOST.format(u="b")} AS host, {_PATH.format(u="b")} AS path FROM reach
 ), shared AS (SELECT a, min({_rule_sql("verdict", "host", "path")}) AS verdict FROM told GROUP BY a)
 SELECT page_id, host, path, {_rule_sql("rule", "host", "path")} AS rule,
   coalesce({_rule_sql("verdict", "host", "path")}, shared.verdict, 'allow') AS verdict

@@ -7,10 +7,10 @@ many splits, and only rows of shards that are still too large come into the next
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, fresh, uniform
+from ._common import checkpointed, fresh, numbered_copies, uniform
 
 LIMIT, STEP, BITS, SEED = 64 << 20, 12, 60, 4
 
@@ -67,22 +67,40 @@ def assigned(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     same = checkpointed(_slim(docs).groupBy("doc_id", "n_bytes", "key").agg(F.count("*").alias("copies")))
     shards = directory(same.select("key", (F.col("n_bytes") * F.col("copies")).alias("n_bytes")), limit)
-    per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))))
-    page = F.when((F.col("shard_bytes") > limit) & (F.col("n_bytes") > 0), F.floor(F.col("i") / per)).otherwise(0).cast("long")
-    out = _looked_up(same, shards).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("i"))
+    page = F.when((F.col("shard_bytes") > limit) & (F.col("n_bytes") > 0), F.floor(F.col("i") / _per_page(limit))).otherwise(0).cast("long")
+    out = numbered_copies(_looked_up(same, shards), "copies", "i", ["key"])
     return out.select("doc_id", "n_bytes", "depth", "prefix", page.alias("page"), "shard_bytes")
 
 
+def _per_page(limit: int):
+    """Rows of ``n_bytes`` that a page takes."""
+    return F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))))
+
+
 def _slim(docs: DataFrame) -> DataFrame:
     n = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_bytes"), uniform(docs["doc_id"], docs["text"], seed=SEED).alias("key"))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """``docs``, with all columns and ``shard`` (depth-prefix), as Parquet under ``path``, a folder for each shard."""
-    key, shard = fresh(docs.columns, "shard_key"), fresh(docs.columns, "shard")
+    """``docs``, with all columns and ``shard``, as Parquet under ``path``, a folder for each shard that fits the limit.
+
+    ``shard`` is depth-prefix.  Rows alike in doc_id and text that alone exceed the limit are paged, every task's rows by
+    themselves: their folders are depth-prefix-task-page.  A single document over the limit has a folder of its own.
+    """
+    names = ("shard_key", "shard", "n_bytes", "task", "over", "nth")
+    key, shard, size, task, over, nth = (fresh(docs.columns, n) for n in names)
     keys = checkpointed(_slim(docs).select("key", "n_bytes"))
     found = _looked_up(keys.select("key").distinct(), directory(keys, limit))
-    found = found.select(F.col("key").alias(key), F.concat_ws("-", "depth", "prefix").alias(shard))
-    out = docs.withColumn(key, uniform(docs["doc_id"], docs["text"], seed=SEED)).join(found, key)
-    out.select(*[out[c] for c in docs.columns], shard).repartition(shard).write.partitionBy(shard).parquet(path)
+    found = found.select(F.col("key").alias(key), F.concat_ws("-", "depth", "prefix").alias(shard), (F.col("shard_bytes") > limit).alias(over))
+    n = F.coalesce(F.octet_length(docs["text"].cast("string")), F.lit(0)).cast("long")
+    keyed = docs.withColumns({key: uniform(docs["doc_id"], docs["text"], seed=SEED), size: n, task: F.spark_partition_id()})
+    out = keyed.join(found, key)
+    out = out.select(*[out[c] for c in docs.columns], key, size, task, shard, over)
+    fits, large = out.where(~F.col(over)), out.where(F.col(over))
+    # a task's rows of one key are as many as its split holds, however often the key comes
+    large = large.withColumn(nth, F.row_number().over(Window.partitionBy(task, key).orderBy(size)) - 1)
+    per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col(size), F.lit(1))))
+    large = large.withColumn(shard, F.concat_ws("-", shard, task, F.floor(F.col(nth) / per)))
+    both = fits.select(*docs.columns, shard).unionByName(large.select(*docs.columns, shard))
+    both.repartition(shard).write.partitionBy(shard).parquet(path)

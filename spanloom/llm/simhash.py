@@ -242,7 +242,7 @@ def keep_one(docs: DataFrame, width: int = 3, similarity: float | None = None) -
     a Jaccard similarity of 0.8, so with ``similarity`` texts also link whose sets of shingles are that similar: MinHash
     bands (16 of 4: a pair at 0.8 shares one with probability 0.9998) bring them together, and the sets are compared
     exactly.  Of each group the row of the least doc_id stays (null doc_ids last; of that doc_id's texts in the group,
-    the least MD5), once even if the row is repeated.
+    the least MD5), once even if the row is repeated; of rows alike in both, the one of the least MD5 over its columns.
     """
     mark = fresh(docs.columns, "text_key")
     keyed = docs.withColumn(mark, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
@@ -275,4 +275,6 @@ def keep_one(docs: DataFrame, width: int = 3, similarity: float | None = None) -
     best = labelled.groupBy("root").agg(F.min(order).alias("o"))
     best = best.select(F.when(~F.col("o.col2"), F.col("o.col1")).alias("_doc"), F.col("o.text_key").alias("_key"))
     picked = keyed.join(best, keyed["doc_id"].eqNullSafe(best["_doc"]) & (keyed[mark] == best["_key"]), "left_semi")
-    return picked.dropDuplicates(["doc_id", mark]).select(*docs.columns)
+    whole = F.struct(*[picked[c] for c in docs.columns])
+    one = picked.groupBy("doc_id", mark).agg(F.min_by(whole, F.md5(F.to_json(whole).cast("binary"))).alias("_row"))
+    return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

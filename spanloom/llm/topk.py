@@ -1,13 +1,14 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-The integer components of the vectors are postings.  Their impact, the absolute component, is quantised to powers of
-two: ``impact >> (level - 1)`` is 1 for the postings of segment ``level``.  An index block holds some thousand vectors,
-its postings ordered by segment from high impact to low, and for each vector the length (norm) that is left below each
-segment.  A block of queries takes one segment after the other: every segment adds its share to all scores of the block.
+The integer components of the vectors are postings (vector, component, value).  Their impact, the absolute value, is
+quantised to powers of two: segment ``level`` holds the impacts in ``[2 ** (level - 1), 2 ** level)``.  An index block
+holds some thousand vectors as arrays of postings, ordered by segment from high impact to low, and for each vector the
+length (norm) that is left below each segment; it is built once and written to the shared checkpoint folder.  A query
+takes one segment after the other: each of its postings adds the query's weight times its value to its vector's score.
 What is still missing of a score is at most the lesser of (the query's length times the vector's length that is left) and
-(the sum of the query's absolute weights times the segment's highest impact).  A segment is the last one only if these
-bounds prove for every query that no vector outside its possible members can reach its k best; the possible members are
-then scored again, exactly, from whole vectors.  A block that no bound can cut is processed to its last segment.
+(the sum of the query's absolute weights times the next segment's highest impact).  A segment is the last one only if
+these bounds prove that no vector outside the possible members can reach the k best; the possible members are then
+scored again, exactly, from whole vectors.  A query that no bound can cut is processed to its last segment.
 
 Queries and vectors meet in blocks of a bounded size, each block pair in one task; the k best of a query are kept per
 block pair and merged by a grouped top-k.
@@ -34,11 +35,11 @@ def whole_vectors(table: DataFrame, scale: int = 1024) -> DataFrame:
 
 
 def _packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """(block, rows) with about ``size`` vectors in a block, by a hash of the id; and the number of blocks."""
+    """(block, rows) with about ``size`` vectors in a block, however often one is repeated; and the number of blocks."""
     rows = checkpointed(rows)
     n = max(1, -(-rows.count() // size))
-    # a repeated id's rows are told apart by their vectors, so that no block is much above its size
-    keyed = rows.select(F.pmod(F.xxhash64("vec_id", "x"), F.lit(n)).cast("int").alias("block"), F.struct("vec_id", "x").alias("row"))
+    # the place of a row in the written table, so that repeated rows spread
+    keyed = rows.select(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("block"), F.struct("vec_id", "x").alias("row"))
     return keyed.groupBy("block").agg(F.sort_array(F.collect_list("row")).alias("rows")), n
 
 
@@ -52,51 +53,90 @@ def _unpacked(rows) -> tuple[np.ndarray, np.ndarray]:
     return ids, out
 
 
-def _typed(m: np.ndarray, other: np.ndarray) -> tuple[np.ndarray]:
-    """Doubles if all inner products stay exact in them, else Python integers."""
+def _exact(m: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """``m`` as doubles if all inner products with ``other`` stay exact in them, else as Python integers."""
     most = lambda a: float(np.abs(a.astype(np.float64)).max(initial=0))
-    return (m.astype(np.float64 if max(most(m), most(other)) ** 2 * max(1, m.shape[1]) < 2**52 else object),)
+    return m.astype(np.float64 if most(m) * most(other) * max(1, m.shape[1]) < 2**52 else object)
 
 
 class Segments:
-    """An index block: ids, whole vectors, and their postings in segments of descending quantised impact."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        impact = np.abs(vectors).astype(np.float64)
-        level = np.frexp(impact)[1]  # 0 for no posting; else impact is in [2**(level-1), 2**level)
-        self.levels = [int(x) for x in np.unique(level[level > 0])[::-1]]
-        self.parts = [np.where(level == x, vectors, 0) for x in self.levels]
-        left = (impact**2).sum(1)
-        self.left = []
-        for p in self.parts:
-            left = left - (p.astype(np.float64) ** 2).sum(1)
-            self.left.append(np.sqrt(np.maximum(left, 0)))
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """An index block: ids, whole vectors, and their postings in segments of descending quantised impact.
+
+    ``row``, ``dim`` and ``value`` are the postings; segment i, of level ``levels[i]``, is ``cuts[i]:cuts[i + 1]``;
+    ``left[i]`` is each vector's length below it.
+    """
+
+    FIELDS = "width int, ids array<long>, whole array<long>, row array<int>, dim array<int>, value array<double>, levels array<int>, cuts array<int>, left array<double>"
+
+    def __init__(self, width, ids, whole, row, dim, value, levels, cuts, left):
+        self.ids, self.row, self.dim, self.value, self.levels, self.cuts = ids, row, dim, value, levels, cuts
+        self.vectors = whole.reshape(len(ids), width)
+        self.left = left.reshape(len(levels), len(ids))
+        self.length = np.sqrt((self.vectors.astype(np.float64) ** 2).sum(1))
+
+    @classmethod
+    def of(cls, ids: np.ndarray, vectors: np.ndarray) -> "Segments":
+        row, dim = np.nonzero(vectors)
+        value = vectors[row, dim].astype(np.float64)
+        level = np.frexp(np.abs(value))[1]
+        order = np.argsort(-level, kind="stable")
+        row, dim, value, level = row[order], dim[order], value[order], level[order]
+        levels, starts = np.unique(-level, return_index=True)
+        cuts = np.append(starts, len(level))
+        left = np.zeros((len(levels), len(ids)))
+        for i in range(len(levels) - 2, -1, -1):  # from the lowest segment up: sums of squares of what follows
+            lo, hi = cuts[i + 1], cuts[i + 2]
+            left[i] = left[i + 1] + np.bincount(row[lo:hi], value[lo:hi] ** 2, len(ids))
+        return cls(vectors.shape[1], ids, vectors.ravel(), row.astype(np.int32), dim.astype(np.int32), value, -levels, cuts, np.sqrt(left).ravel())
+
+    def stored(self) -> dict:
+        """The block as a row of :attr:`FIELDS`."""
+        out = {"width": self.vectors.shape[1], "ids": self.ids, "whole": self.vectors.ravel(), "left": self.left.ravel()}
+        return out | {k: getattr(self, k) for k in ("row", "dim", "value", "levels", "cuts")}
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (its id in ``own`` is no answer) the ids and scores of its k best, ties to lesser ids."""
-        n, m = len(queries), len(self.ids)
-        score = np.zeros((n, m))
-        one, two = np.abs(queries).astype(np.float64).sum(1), np.sqrt((queries.astype(np.float64) ** 2).sum(1))
-        itself = own[:, None] == self.ids[None, :]
-        alive = ~itself
-        for i, part in enumerate(self.parts):
-            score += (queries @ part.T).astype(np.float64)
-            top = float(2 ** self.levels[i + 1]) if i + 1 < len(self.levels) else 0.0
-            # a little above the true bound, for rounding
-            missing = np.minimum(two[:, None] * self.left[i][None, :], one[:, None] * top) * (1 + 1e-9) + (1e-6 if top else 0)
-            low = np.where(itself, -np.inf, score - missing)
-            kth = np.partition(low, m - k, axis=1)[:, m - k] if m > k else np.full(n, -np.inf)
-            alive = ~itself & (score + missing >= kth[:, None])
-            if i + 1 == len(self.parts) or alive.sum() <= 4 * k * n:
+        width = max(self.vectors.shape[1], queries.shape[1])
+        whole = np.pad(self.vectors, ((0, 0), (0, width - self.vectors.shape[1])))
+        asked = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
+        whole, asked = _exact(whole, asked), _exact(asked, whole)
+        return [self._best(q, whole, w, k) for q, w in zip(own.tolist(), asked)]
+
+    def _best(self, own: int, whole: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        q = weights.astype(np.float64)
+        score, m = np.zeros(len(self.ids)), len(self.ids)
+        one, two = np.abs(q).sum(), np.sqrt((q**2).sum())
+        other = self.ids != own
+        # a bound on the rounding of sums of doubles
+        slack = two * self.length * (len(q) + 2) * 2.0**-50
+        alive = other
+        for i in range(len(self.levels)):
+            lo, hi = self.cuts[i], self.cuts[i + 1]
+            score += np.bincount(self.row[lo:hi], q[self.dim[lo:hi]] * self.value[lo:hi], m)
+            top = 2.0 ** self.levels[i + 1] if i + 1 < len(self.levels) else 0.0
+            missing = np.minimum(two * self.left[i], one * top) * (1 + 1e-9) + slack
+            low = np.where(other, score - missing, -np.inf)
+            kth = np.partition(low, m - k)[m - k] if m > k else -np.inf
+            alive = other & (score + missing >= kth)
+            if alive.sum() <= 4 * k:
                 break  # proven: nothing else can be among the k best
-        out = []
-        for q in range(n):
-            at = np.flatnonzero(alive[q])
-            exact = self.vectors[at] @ queries[q]
-            order = np.lexsort((self.ids[at], -exact))[:k] if exact.dtype != object else np.array(sorted(range(len(at)), key=lambda j: (-exact[j], self.ids[at[j]]))[:k], int)
-            out.append((self.ids[at][order], exact[order]))
-        return out
+        at = np.flatnonzero(alive)
+        exact = whole[at] @ weights
+        ids = self.ids[at]
+        order = np.lexsort((ids, -exact)) if exact.dtype != object else np.array(sorted(range(len(at)), key=lambda j: (-exact[j], ids[j])), int)
+        return ids[order[:k]], exact[order[:k]]
+
+
+def _index(blocks: DataFrame) -> DataFrame:
+    """(block, and the fields of :class:`Segments`) of (block, rows), computed once."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(len(b["rows"])):
+                made = Segments.of(*_unpacked(b["rows"][i].values)).stored()
+                yield {"block": b["block"].slice(i, 1)} | {n: [x] for n, x in made.items()}
+
+    return checkpointed(in_arrow(blocks, run, "block int, " + Segments.FIELDS))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
@@ -112,21 +152,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
     # every index block meets every query block: a stated query set against all rows, in blocks
     other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = left.select(F.col("block").alias("q"), other(n_right).alias("v"), F.col("rows").alias("asked"))
-    right = right.select(other(n_left).alias("q"), F.col("block").alias("v"), "rows")
-    pairs = right.join(left, ["q", "v"]).select("rows", "asked")
+    index = _index(right).withColumnRenamed("block", "v").select("*", other(n_left).alias("q"))
+    fields = [x.split()[0] for x in Segments.FIELDS.split(", ")]
+    pairs = index.join(left, ["q", "v"]).select(*fields, "asked")
 
     def run(batches):
         for b in batches:
-            for i in range(len(b["rows"])):
-                ids, x = _unpacked(b["rows"][i].values)
+            for i in range(len(b["asked"])):
+                part = Segments(*(b[n][i].as_py() if n == "width" else b[n][i].values.to_numpy() for n in fields))
                 own, q = _unpacked(b["asked"][i].values)
-                width = max(x.shape[1], q.shape[1])
-                x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
-                index = Segments(ids, *_typed(x, q))
-                q = _typed(q, x)[0]
-                for at in range(0, len(own), 128):
-                    for asked, (got, score) in zip(own[at : at + 128], index.search(q[at : at + 128], own[at : at + 128], k)):
-                        yield {"query_id": np.full(len(got), asked, np.int64), "vec_id": got, "score": np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in score], np.int64)}
+                for asked, (got, score) in zip(own, part.search(q, own, k)):
+                    yield {"query_id": np.full(len(got), asked, np.int64), "vec_id": got, "score": np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in score], np.int64)}
 
     found = in_arrow(pairs, run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))

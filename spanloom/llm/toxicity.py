@@ -10,8 +10,10 @@ The model is fitted on the driver from a sample of at most ``TRAIN_ROWS`` labell
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from ._common import in_arrow, uniform
 from .hashed import Design, Scorer, fit, sigmoid
 
-#: Labelled documents in the sample, and different words of each that are looked at.
-TRAIN_ROWS, SEED = 8_000, 1
+#: Labelled documents in the sample, and different words of each that the fit looks at (the least by CRC-32 if it has more).
+TRAIN_ROWS, TRAIN_WORDS, SEED = 8_000, 1_000, 1
 REJECT = 0.5
 _WORD = re.compile(r"\w+")
 
@@ -33,6 +35,14 @@ def words_of(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
 
+def _sampled_words(text: str | None) -> Counter:
+    """At most ``TRAIN_WORDS`` of a whole text's words, with their numbers."""
+    found = words_of(text)
+    if len(found) <= TRAIN_WORDS:
+        return found
+    return Counter({w: found[w] for w in heapq.nsmallest(TRAIN_WORDS, found, key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w))})
+
+
 def _value(n: int) -> float:
     return 1.0 + math.log(n) if n > 1 else 1.0
 
@@ -102,16 +112,18 @@ def grades_from_text(toxic: np.ndarray, doc: np.ndarray, word: np.ndarray, value
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalModel:
     """Model from documents (doc_id, text) and labels (doc_id, toxic); of repeated labels the severest counts.
 
-    The sample: the ``rows`` labelled ids that come first in a seeded order.  Integer labels above 1 are grades.
-    Without any toxic row, nothing is toxic.
+    The sample: the ``rows`` labelled ids that come first in a seeded order, one document of each (of a repeated id the
+    text of least MD5), and at most ``TRAIN_WORDS`` words of it; so what comes to the driver is bounded.  Integer labels
+    above 1 are grades.  Without any toxic row, nothing is toxic.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("_grade"))
     known = known.orderBy(uniform(F.col("_id"), seed=SEED), "_id").limit(rows)  # bounded, so it may be broadcast
     picked = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "_id")
+    picked = picked.groupBy("_id", "_grade").agg(F.min_by("text", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text"))
 
     def run(batches):
         for b in batches:
-            found = [words_of(t) for t in b["text"].to_pylist()]
+            found = [_sampled_words(t) for t in b["text"].to_pylist()]
             yield {"id": b["_id"], "grade": b["_grade"], "words": [list(f) for f in found], "counts": [list(f.values()) for f in found]}
 
     got = in_arrow(picked, run, "id long, grade int, words array<string>, counts array<int>").toArrow().combine_chunks()
@@ -150,7 +162,8 @@ def graded(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> Data
     """(doc_id, expected_severity, p_toxic, rejected) for each row of ``docs`` (doc_id, text; others are ignored).
 
     Whole texts are read.  Null and empty texts have no features: they get what the thresholds alone say.  A row is
-    rejected if a grade above 0 has at least the probability ``reject``.  Repeated rows are graded one by one.
+    rejected if a grade above 0 has at least the probability ``reject``: as all thresholds share the score, that is a
+    cut of the expected severity too.  Repeated rows are graded one by one.
     """
 
     def run(batches):

@@ -11,9 +11,14 @@ from ._common import fresh
 from .components import connected_components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: (tag, attribute that names its role, its value, attribute that holds the link, prefix inside it)
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*['\"]?([^\"'\s>]+)"
+#: Parts of a page in which tags are text.
+_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>"
+_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+_IS_CANONICAL, _HREF = r"(?is)^<link\b.*[\s\"'/]rel\s*=\s*[\"']?canonical\b", r"(?is)[\s\"'/]href\s*=\s*[\"']?([^\"'\s>]+)"
+_IS_REFRESH, _URL = r"(?is)^<meta\b.*[\s\"'/]http-equiv\s*=\s*[\"']?refresh\b", r"(?is)[\s\"'/]content\s*=\s*[\"']?[^\"'>]*?url\s*=\s*['\"]?([^\"'\s>]+)"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+#: Parameters that do not change a page.
+_TRACKING = r"^(?:utm_[a-z]+|ref)="
 
 Rule = tuple[str, str]
 
@@ -40,35 +45,68 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     A rule fits its host and all its subdomains if the path starts with the rule's; of equally long ones the first.
     """
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for what, text in sorted(rules, key=lambda r: len(r[1])):
+    for what, text in sorted(reversed(rules), key=lambda r: len(r[1])):
         at = text.index("/")
         fits = ((host == text[:at]) | host.endswith("." + text[:at])) & path.startswith(text[at:])
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
     return rule, verdict
 
 
+def resolved(base: Column, target: Column) -> Column:
+    """A link's target as a URL: with a scheme as it is, else relative to the page ``base`` (its scheme, host, path or
+    directory), ``.`` and ``..`` resolved.  Null for schemes without a host (``mailto:``) and for a bare fragment."""
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = path_of(base)
+    directory = F.regexp_replace(path, r"[^/]*$", "")
+    place = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    rest = F.substr(target, F.length(place) + 1)
+    whole = F.when(place == "", path).when(place.startswith("/"), place).otherwise(F.concat(F.when(directory == "", "/").otherwise(directory), place))
+    steps = F.split(F.regexp_replace(whole, "^/", ""), "/")
+    walked = F.aggregate(steps, F.lit(""), lambda done, x: F.when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x)))
+    tidy = F.concat(walked, F.when(whole.rlike(r"(?:^|/)\.\.?$"), "/").otherwise(""))
+    joined = F.concat(site, F.when(F.size(F.array_intersect(steps, F.array(F.lit("."), F.lit("..")))) > 0, tidy).otherwise(whole), rest)
+    return (F.when(target.rlike(_SCHEME), F.when(target.rlike(_SCHEME + "//"), target))
+            .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), target))
+            .when(~target.startswith("#"), joined))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): nodes joined by a page's canonical link or refresh; targets without ``://`` are resolved on the host."""
+    """(a, b): nodes joined by a page's canonical links and refreshes, which comments and scripts cannot hold."""
     at = page_of(F.col("url").cast("string"))
     html = F.col("html").cast("string")
-    # few pages have either; the plain search goes first
     head = F.lower(html)
-    found = F.array(F.when(head.contains("canonical"), F.regexp_extract(html, _CANONICAL, 1)), F.when(head.contains("refresh"), F.regexp_extract(html, _REFRESH, 1)))
-    target = F.regexp_replace(F.col("t"), "&amp;", "&")
-    base = F.regexp_extract("a", r"(?s)^(.*?://[^/?#]*)", 1)
-    whole = (F.when(F.instr(target, "://") > 0, target)
-             .when(target.startswith("//"), F.concat(F.regexp_extract("a", r"(?s)^(.*?:)//", 1), target))
-             .when(target.startswith("/"), F.concat(base, target)))
-    out = pages.select(at.alias("a"), F.explode(found).alias("t")).where("a is not null and t <> ''")
-    return out.select("a", page_of(whole).alias("b")).where("b is not null")
+    # few pages have either; the plain search goes first
+    tags = F.when(head.contains("canonical") | head.contains("refresh"), F.regexp_extract_all(F.regexp_replace(html, _HIDDEN, " "), F.lit(_TAG), F.lit(0)))
+    rows = pages.select(at.alias("a"), F.explode(tags).alias("tag")).where("a is not null")
+    link = F.when(F.col("tag").rlike(_IS_CANONICAL), F.regexp_extract("tag", _HREF, 1)).when(F.col("tag").rlike(_IS_REFRESH), F.regexp_extract("tag", _URL, 1))
+    rows = rows.select("a", F.replace(link, F.lit("&amp;"), F.lit("&")).alias("t")).where("t <> ''")
+    return rows.select("a", page_of(resolved(F.col("a"), F.col("t"))).alias("b")).where("b is not null")
+
+
+def usual_form(node: Column) -> Column:
+    """Where sites commonly redirect a URL to: https, the host without ``www.`` or ``m.``, the path without ``.html``,
+    ``/index.html`` or a slash at its end, no tracking parameters."""
+    host = F.regexp_replace(host_of(node), r"^(?:www|m)\.|:(?:80|443)$", "")
+    path = F.regexp_replace(path_of(node), r"(?:/index\.html|\.html|/)$", "")
+    query = F.regexp_extract(node, r"(?s)^[^?]*\?(.*)$", 1)
+    left = F.array_join(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(_TRACKING)), "&")
+    scheme = F.regexp_replace(F.regexp_extract(node, r"(?s)^(.*?://)", 1), "^http://$", "https://")
+    return F.concat(scheme, host, path, F.when(left != "", F.concat(F.lit("?"), left)).otherwise(""))
+
+
+def usual_redirects(pages: DataFrame) -> DataFrame:
+    """(a, b): each page's node and its :func:`usual_form`, where they differ."""
+    rows = pages.select(page_of(F.col("url").cast("string")).alias("a")).where("a is not null").distinct()
+    return rows.select("a", usual_form(F.col("a")).alias("b")).where("a <> b")
 
 
-def judged(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
+def judged(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None, default: str = "allow", usual: bool = True) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of ``pages`` (page_id, url, html; others are ignored).
 
     A rule of the page's own decides.  Without one, the page's equivalence class does, which redirects (a table of
-    ``source`` and ``target`` URLs) and the pages' canonical links and refreshes make: an explicit allow anywhere in the
-    class takes precedence, then an explicit block; a class with neither gets ``default``.  Targets that are no page of
+    ``source`` and ``target`` URLs), the pages' canonical links and refreshes and, unless ``usual`` is off, the usual
+    redirects between variants of one URL make: an explicit allow anywhere in the class takes precedence, then an
+    explicit block; a class with neither gets ``default``.  Targets that are no page of
     the table bring the rules that fit them.  Null URLs and those without ``://`` are alone and get ``default``.
     """
     url = F.col("url").cast("string")
@@ -76,6 +114,8 @@ def judged(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("own"))
     edges = alias_edges(pages)
+    if usual:
+        edges = edges.unionByName(usual_redirects(pages))
     if redirects is not None:
         s, t = page_of(F.col("source").cast("string")), page_of(F.col("target").cast("string"))
         edges = edges.unionByName(redirects.select(s.alias("a"), t.alias("b")))

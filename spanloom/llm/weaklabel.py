@@ -4,7 +4,7 @@ Each labeller votes good (1), bad (-1) or nothing (0) on a text; the labellers o
 documents by pattern of votes are a sufficient statistic; there are at most 3 ** labellers patterns whatever the corpus.
 EM estimates from them how often each labeller votes which way on good and on bad texts, and so the posterior of every
 pattern.  A linear model of hashed words and of bucketed shape features learns these posteriors on a sample of at most
-``TRAIN_ROWS`` documents and scores every document.
+``TRAIN_ROWS`` different documents and scores every document.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import in_arrow, uniform
+from ._common import checkpointed, in_arrow, uniform
 from .hashed import Design, Scorer, fit, sigmoid
 
 TRAIN_ROWS, SEED, KEEP = 6_000, 6, 0.5
@@ -118,6 +118,12 @@ class QualityModel:
     weights: np.ndarray
     bias: float
     accuracies: np.ndarray
+    #: Posterior of good by code of votes.
+    posteriors: dict[int, float]
+
+    def labellers(self) -> dict[str, float]:
+        """Each labeller's estimated accuracy where it votes."""
+        return dict(zip(LABELLERS, self.accuracies.tolist()))
 
 
 def _code(v: list[int]) -> int:
@@ -129,8 +135,9 @@ def _pattern(code: int) -> list[int]:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
-    """Votes are counted over all of ``docs`` (doc_id, text); the scorer learns from the ``rows`` that come first in a
-    seeded order of (doc_id, text length).  An empty table gives a model that scores 0.5."""
+    """Votes are counted over all of ``docs`` (doc_id, text); the scorer learns from the ``rows`` different (doc_id, text)
+    that come first in a seeded order, each once however often it is repeated.  An empty table gives a model that scores
+    0.5."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def vote(batches):
@@ -142,20 +149,26 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
     counts = np.array([r[1] for r in found], float)
     post, accuracies = estimate(np.array([_pattern(c) for c in codes]).reshape(-1, len(LABELLERS)), counts)
     if not len(codes):
-        return QualityModel(np.zeros(0, np.int64), np.zeros(0), 0.0, accuracies)
+        return QualityModel(np.zeros(0, np.int64), np.zeros(0), 0.0, accuracies, {})
     of = dict(zip(codes.tolist(), post.tolist()))
-    # a share of the rows that leaves somewhat more than enough, then exactly as many as asked for
-    order = uniform(F.col("doc_id"), F.length("text"), seed=SEED)
+    place = F.struct(uniform(F.col("doc_id"), F.length("text"), seed=SEED).alias("at"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tie")).alias("place")
+    # a share of the keys that leaves somewhat more than enough, or all where many rows share a key
     share = min(1.0, 1.5 * rows / counts.sum() + 1e-3)
-    picked = slim.withColumn("at", order).where(F.col("at") <= int(share * 2**60))
+    first = None
+    for most in (int(share * 2**60), 2**60):
+        if first is None or first.count() < rows:
+            keys = slim.select(place).where(F.col("place.at") <= most).distinct()
+            first = checkpointed(keys.orderBy("place").limit(rows))  # bounded, so it may be broadcast
+    placed = slim.select(place, "text").join(F.broadcast(first), "place")
+    picked = placed.groupBy("place").agg(F.first("text").alias("text"))  # rows alike in their place have the same text
 
     def read(batches):
         for b in batches:
             got = [_read(t) for t in b["text"].to_pylist()]
-            yield {"at": b["at"], "target": [of.get(_code(votes(s)), 0.5) for _, s in got], "words": [[*c, *_shape_words(s)] for c, s in got], "counts": [[*c.values(), *[0] * 11] for c, _ in got]}
+            yield {"at": b["at"], "tie": b["tie"], "target": [of.get(_code(votes(s)), 0.5) for _, s in got], "words": [[*c, *_shape_words(s)] for c, s in got], "counts": [[*c.values(), *[0] * 11] for c, _ in got]}
 
-    sample = in_arrow(picked, read, "at long, target double, words array<string>, counts array<int>").orderBy("at", F.size("words")).limit(rows)
-    got = sample.toArrow().combine_chunks()
+    sample = in_arrow(picked.select("place.at", "place.tie", "text"), read, "at long, tie string, target double, words array<string>, counts array<int>")
+    got = sample.orderBy("at", "tie").toArrow().combine_chunks()  # at most ``rows``
     lists = got["words"].combine_chunks()
     names = lists.flatten().dictionary_encode()
     sizes = lists.value_lengths().to_numpy()
@@ -173,35 +186,37 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
 
     share_good = np.clip(target.mean(), 0.01, 0.99)
     w, extra = fit(design, loss, np.array([np.log(share_good / (1 - share_good))]))
-    return QualityModel(design.used[w != 0], w[w != 0], float(extra[0]), accuracies)
+    return QualityModel(design.used[w != 0], w[w != 0], float(extra[0]), accuracies, of)
 
 
 def _rater(model: QualityModel):
     scorer = Scorer(model.places, model.weights)
 
-    def rate(texts: list[str | None]) -> list[float]:
-        out = []
+    def rate(texts: list[str | None]) -> tuple[list[float], list[float]]:
+        out, weak = [], []
         word = scorer.word
         for t in texts:
             counts, s = _read(t)
             total = sum([n * x for w, n in counts.items() if (x := word(w))]) * 4 / max(SHORT, s["n"])
             out.append(float(sigmoid(model.bias + total + sum(map(word, _shape_words(s))))))
-        return out
+            weak.append(model.posteriors.get(_code(votes(s)), 0.5))
+        return out, weak
 
     return rate
 
 
 def scored(docs: DataFrame, model: QualityModel, keep: float = KEEP) -> DataFrame:
-    """(doc_id, quality, kept) for each row of ``docs`` (doc_id, text; others are ignored): the scorer's probability of
-    a good text.  Null and empty texts are scored by their shape alone; repeated rows one by one."""
+    """(doc_id, weak_label, quality, kept) for each row of ``docs`` (doc_id, text; others are ignored): the posterior of
+    its votes (0.5 for votes that the fit has not met) and the scorer's probability of a good text, which decides.  Null
+    and empty texts are scored by their shape alone; repeated rows one by one."""
 
     def run(batches):
         rate = _rater(model)
         for b in batches:
-            got = rate(b["text"].to_pylist())
-            yield {"doc_id": b["doc_id"], "quality": got, "kept": [x >= keep for x in got]}
+            got, weak = rate(b["text"].to_pylist())
+            yield {"doc_id": b["doc_id"], "weak_label": weak, "quality": got, "kept": [x >= keep for x in got]}
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, quality double, kept boolean")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, weak_label double, quality double, kept boolean")
 
 
 def kept_documents(docs: DataFrame, model: QualityModel, keep: float = KEEP) -> DataFrame:
@@ -211,7 +226,7 @@ def kept_documents(docs: DataFrame, model: QualityModel, keep: float = KEEP) ->
     def run(batches):
         rate = _rater(model)
         for b in batches:
-            got = rate(b.column(b.schema.get_field_index("text")).cast(pa.string()).to_pylist())
+            got, _ = rate(b.column(b.schema.get_field_index("text")).cast(pa.string()).to_pylist())
             yield b.filter(pa.array([x >= keep for x in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

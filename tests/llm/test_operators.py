@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, components, hashed, linededup, mixing, repetition, sharding, simhash, topk, toxicity, urlfilter, weaklabel
+from spanloom.llm import _common, bpe, components, hashed, linededup, mixing, repetition, sharding, simhash, topk, toxicity, urlfilter, weaklabel
 from spanloom.llm.queries import URL_RULES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -50,7 +50,7 @@ def n_words(text):
 
 def clashing(docs):
     """Extra columns named as the operators' own."""
-    names = "fp key size root component_id text_key removed target whole last_key node a b id page shard quality flag s times n_words entry base".split()
+    names = "fp key size root component_id text_key removed target whole last_key node a b id page shard quality flag s times n_words entry base _whole _last last copies copy _row place tie at i head kept_in usual tag".split()
     return docs.select("*", *[F.lit("x").alias(n) for n in names])
 
 
@@ -157,6 +157,25 @@ def test_toxicity_edges(spark, docs, empty):
     assert kept.columns == clashing(docs).columns
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """One document of each sampled id, and so many words of it, come to the driver, however often an id is repeated."""
+    rows_ = [(i % 12, f"text {j} of {i % 12} " + ("vile " * (i % 2)) + " ".join(f"w{j}x{k}" for k in range(30))) for j, i in enumerate(range(3000))]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    seen = []
+    kept = toxicity._trained
+    monkeypatch.setattr(toxicity, "_trained", lambda got: seen.append(got) or kept(got))
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 20)
+    toxicity.train(docs, labels, rows=10)
+    assert seen[0].num_rows == 10 and len(set(seen[0]["id"].to_pylist())) == 10
+    whole = {i: min((t for k, t in rows_ if k == i), key=lambda t: hashlib.md5(t.encode()).hexdigest()) for i in range(12)}
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 1000)
+    toxicity.train(docs, labels, rows=10)
+    for i, words, counts in zip(*(seen[1][c].to_pylist() for c in ("id", "words", "counts"))):
+        assert dict(zip(words, counts)) == toxicity.words_of(whole[i])
+    assert len(toxicity._sampled_words(" ".join(f"a{i}" for i in range(5000)))) == 1000
+
+
 # --- 2 SimHash
 
 
@@ -229,6 +248,12 @@ def test_simhash_keeps_one(docs):
     assert Counter((r.doc_id, hashlib.md5((r.text or "").encode()).hexdigest()) for r in kept.collect()) == want
 
 
+def test_keep_one_is_the_same_in_every_order(spark):
+    rows_ = [(1, "a b c d", "en", s, 0) for s in ("z", "y", "x", None)] + [(None, "e f g h", "en", s, 0) for s in ("q", "p")]
+    got = {tuple(map(tuple, simhash.keep_one(spark.createDataFrame(x, DOCS).repartition(4)).orderBy("text").collect())) for x in (rows_, rows_[::-1], rows_[3:] + rows_[:3])}
+    assert len(got) == 1 and len(next(iter(got))) == 2
+
+
 def test_keep_one_links_similarity(spark):
     """Pairs of texts at five-word Jaccard 0.8 or more, most of them more than three bits apart, leave one text each."""
     r = random.Random(14)
@@ -281,11 +306,38 @@ def test_top_k_few_and_none(spark):
     assert topk.top_k(w.limit(0), w.limit(0)).count() == 0
 
 
+def test_top_k_of_large_numbers_and_repeated_vectors(spark):
+    """Scores beyond what doubles hold, and a vector that half of all rows repeat."""
+    r = random.Random(31)
+    big = [(i, [float(r.choice([-1, 1]) * (2**29 + r.randrange(99))) / 1024 for _ in range(3)]) for i in range(60)]
+    same = [(300 + i % 3, big[7][1]) for i in range(120)]
+    for vectors in (big, big + same):
+        w = topk.whole_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+        got = topk.top_k(w, w.where("vec_id % 100 = 0"), block=16, query_block=2)
+        assert rows(got) == brute_top_k(vectors)
+    blocks, n = topk._packed(w, 16)
+    assert max(len(b.rows) for b in blocks.collect()) < 40 and n == 12
+
+
+def test_top_k_postings():
+    r = np.random.default_rng(2)
+    x = r.integers(-300, 300, (50, 6))
+    x[3] = 0
+    s = topk.Segments.of(np.arange(50), x)
+    assert sorted(zip(s.row.tolist(), s.dim.tolist(), s.value.tolist())) == [(i, j, float(x[i, j])) for i in range(50) for j in range(6) if x[i, j]]
+    assert list(s.levels) == sorted(set(s.levels), reverse=True)
+    for i, level in enumerate(s.levels):
+        part = np.abs(s.value[s.cuts[i] : s.cuts[i + 1]])
+        assert ((part >= 2 ** (level - 1)) & (part < 2**level)).all()
+        below = np.where(np.abs(x) < 2 ** (level - 1), x, 0)
+        assert np.allclose(s.left[i], np.sqrt((below.astype(float) ** 2).sum(1)))
+
+
 def test_top_k_stops_early_and_right():
     r = np.random.default_rng(1)
     x = np.concatenate([r.integers(-40, 40, (3000, 16)), r.integers(-900, 900, (30, 16))]).astype(float)
     q = r.integers(-900, 900, (20, 16)).astype(float)
-    s = topk.Segments(np.arange(len(x)), x)
+    s = topk.Segments.of(np.arange(len(x)), x.astype(np.int64))
     for i, (ids, score) in enumerate(s.search(q, np.full(20, -1), 10)):
         want = sorted((-int(v), j) for j, v in enumerate(x @ q[i]))[:10]
         assert [(-int(v), j) for j, v in zip(ids.tolist(), score.tolist())] == want
@@ -329,6 +381,39 @@ def test_sharding_writes(spark, docs, empty, tmp_path):
     assert sharding.assigned(empty).count() == 0
 
 
+def test_written_shards_keep_the_limit(spark, tmp_path):
+    """Repeated rows that alone exceed the limit, and one document over it."""
+    rows_ = [(1, "x" * 100)] * 50 + [(2, "y" * 900)] + [(i, "z" * 40) for i in range(3, 60)] + [(None, None)] * 5
+    docs = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3).withColumn("shard", F.lit("own"))
+    sharding.write_shards(docs, str(tmp_path / "out"), 500)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(rows_) and back.where("shard = 'own'").count() == len(rows_)
+    sizes = [r.n for r in back.groupBy("_shard").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n")).collect()]
+    assert sorted(sizes)[-1] == 900 and sorted(sizes)[-2] <= 500
+
+
+def test_copies_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(_common, "COPIES", 7)
+    df = spark.createDataFrame([(1, 1), (2, 7), (3, 8), (4, 50)], "k long, n long")
+    got = Counter((r.k, r.i) for r in _common.numbered_copies(df, "n", "i", ["k"]).collect())
+    assert got == Counter((k, i) for k, n in ((1, 1), (2, 7), (3, 8), (4, 50)) for i in range(n))
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Fake:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        master, isEmpty = "spark://host:7077", staticmethod(lambda: True)
+        getConf = staticmethod(lambda: {})
+
+    spark = Fake()
+    spark.sparkContext, spark.conf = Fake(), {}
+    spark.sparkContext._jsc = Fake()
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        _common._shared_folder(spark)
+
+
 # --- 5 repetition
 
 
@@ -388,25 +473,80 @@ def test_quality_held_out(spark, docs, empty):
     assert weaklabel.kept_documents(clashing(docs), model).columns == clashing(docs).columns
 
 
+def brute_em(votes, rounds=100):
+    """EM document by document, in plain Python."""
+    n, m = len(votes), len(votes[0])
+    post = [min(0.95, max(0.05, 0.5 + 0.5 * sum(v) / m)) for v in votes]
+    for _ in range(rounds):
+        prior = min(0.99, max(0.01, sum(post) / n))
+        rate = {}
+        for good in (0, 1):
+            for j in range(m):
+                weigh = {v: 0.5 + sum((p if good else 1 - p) for p, d in zip(post, votes) if d[j] == v) for v in (-1, 1)}
+                for v in (-1, 1):
+                    rate[good, j, v] = weigh[v] / (weigh[-1] + weigh[1])
+        new = []
+        for d in votes:
+            odds = math.log(prior / (1 - prior)) + sum(math.log(rate[1, j, v] / rate[0, j, v]) for j, v in enumerate(d) if v)
+            new.append(1 / (1 + math.exp(-odds)))
+        done = max(abs(a - b) for a, b in zip(new, post)) < 1e-9
+        if done:
+            break
+        post = new
+    return post
+
+
+def test_weak_labels_match_brute_force(spark, docs):
+    """Posteriors of every document against EM over documents, and the scorer feature by feature."""
+    r = random.Random(18)
+    more = [(500 + i, " ".join(w.upper() + "!!!" if i % 4 == 0 else w for w in sentence(r, r.randrange(1, 60)).split()) + r.choice([".", "", " | |"]), "en", "a", 0) for i in range(80)]
+    both = docs.unionByName(spark.createDataFrame(more, DOCS))
+    model = weaklabel.train(both)
+    got = weaklabel.scored(clashing(both), model).collect()
+    texts_ = [d.text for d in both.collect()]
+    votes = [weaklabel.votes(weaklabel._read(t)[1]) for t in texts_]
+    weight = dict(zip(model.places.tolist(), model.weights.tolist()))
+    for x, t, p in zip(got, texts_, brute_em(votes)):
+        assert x.weak_label == pytest.approx(p, abs=1e-6)
+        words, shape = weaklabel._read(t)
+        score = model.bias + sum(n * weight.get(f, 0) for w, n in words.items() for f in hashed.features(w)) * 4 / max(50, shape["n"])
+        score += sum(weight.get(f, 0) for w in weaklabel._shape_words(shape) for f in hashed.features(w))
+        assert x.quality == pytest.approx(1 / (1 + math.exp(-score)), abs=1e-9) and x.kept == (x.quality >= 0.5)
+    assert set(model.labellers()) == set(weaklabel.LABELLERS) and all(0 <= a <= 1 for a in model.accuracies)
+
+
+def test_weak_label_sample_with_repeated_rows(spark):
+    """Rows that repeat without end leave a model of all different texts."""
+    r = random.Random(19)
+    rows_ = [(i % 3, f"same words of {i % 3} over and over.") for i in range(30000)] + [(100 + i, sentence(r, 30).capitalize() + ".") for i in range(40)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    for n in (20, 6000):
+        model = weaklabel.train(docs, n)
+        assert math.isfinite(model.bias) and np.isfinite(model.weights).all()
+        assert all(x.kept for x in weaklabel.scored(docs.where("doc_id >= 100"), model).collect())
+    assert weaklabel.train(docs.limit(0)).posteriors == {}
+
+
 # --- 7 line dedup
 
 
-def brute_lines(docs):
+def brute_lines(docs, width=linededup.WIDTH):
     def shingles(x):
-        return {x[i : i + 9] for i in range(max(1, len(x) - 8))}
+        return {x[i : i + width] for i in range(max(1, len(x) - width + 1))}
 
     lines = [(r.doc_id is None, r.doc_id or 0, xxhash.xxh64_intdigest((r.text or "").encode()) - 2**63, i, x) for r in docs for i, x in enumerate((r.text or "").split("\n")) if x.strip(" \t\n\v\f\r")]
     lines = sorted(set(lines))
     sets = [shingles(x[-1]) for x in lines]
     of = classes(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
-    seen, out = set(), defaultdict(lambda: [0, []])
+    seen, out = {}, {(r.doc_id, xxhash.xxh64_intdigest((r.text or "").encode()) - 2**63): [0, []] for r in docs}
     for line, c in zip(lines, of):
-        d = out[None if line[0] else line[1], line[2]]
+        place = None if line[0] else line[1]
+        d = out[place, line[2]]
         d[0] += 1
         if c in seen:
-            d[1].append(line[3])
-        seen.add(c)
-    return {k: (n, sorted(x)) for k, (n, x) in out.items()}
+            d[1].append((line[3], seen[c]))
+        seen.setdefault(c, (place, line[3]))
+    return {k: (n, [i for i, _ in sorted(x)], [p for _, p in sorted(x)]) for k, (n, x) in out.items()}
 
 
 @pytest.mark.parametrize("block", [256, 2])
@@ -417,7 +557,7 @@ def test_line_dedup(spark, docs, monkeypatch, block):
     fuzzy = [x.replace(x.split()[7], "w", 1) for x in lines[:15] for _ in range(3)]
     more = spark.createDataFrame([(100 + i, "\n".join(r.sample(lines + fuzzy, 4)), "en", "a", 0) for i in range(25)], DOCS)
     both = docs.unionByName(more)
-    got = {(x.doc_id, x.text_key): (x.n_lines, x.removed) for x in linededup.line_decisions(clashing(both)).collect()}
+    got = {(x.doc_id, x.text_key): (x.n_lines, x.removed, [tuple(p) for p in x.kept_in]) for x in linededup.line_decisions(clashing(both)).collect()}
     assert got == brute_lines(both.collect())
     out = linededup.deduplicated(clashing(both))
     assert out.columns == clashing(both).columns and out.count() == both.count()
@@ -501,6 +641,44 @@ def test_url_filter(spark):
     assert urlfilter.judged(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_url_targets(spark):
+    from urllib.parse import urljoin
+
+    base = "http://a.org/x/y/page?q=1"
+    targets = ["z.html", "../z", "../../../z", "./z/./w", "/p?u=http://x.net/es/", "?id=3", "//q.com/a", "https://Q.com/a", "z/..", ".", "..", "a:b", "mailto:x@y.org", "#top", "z#f"]
+    df = spark.createDataFrame([(t,) for t in targets], "t string")
+    got = {r.t: r.u for r in df.select("t", urlfilter.resolved(F.lit(base), F.col("t")).alias("u")).collect()}
+    for t in targets:
+        assert got[t] == (None if t in ("a:b", "mailto:x@y.org", "#top") else urljoin(base, t)), t
+    for page, t, u in (("http://a.org", "z", "http://a.org/z"), (base, "a//b", "http://a.org/x/y/a//b")):  # RFC 3986 keeps empty steps
+        assert spark.range(1).select(urlfilter.resolved(F.lit(page), F.lit(t))).first()[0] == u
+
+
+def test_url_links_of_pages(spark):
+    own = {
+        "query string": ("http://a.org/1", "<link rel=canonical href='/p?u=http://x.net/es/'>", "allow"),
+        "comment": ("http://b.org/1", "<!-- <link rel=canonical href=http://x.net/es/1> -->", "allow"),
+        "script": ("http://c.org/1", "<script>'<link rel=canonical href=http://x.net/es/1>'</script>", "allow"),
+        "relative": ("http://x.net/de/1", "<link href='../es/1.html' rel=\"canonical\">", "block"),
+        "second link": ("http://d.org/1", "<link rel=stylesheet href=/a><link rel=canonical href=/b><link rel=canonical href=http://x.net/es/2>", "block"),
+        "refresh": ("http://e.org/1", "<META content='3; URL=http://x.net/fr/9' http-equiv='Refresh'>", "block"),
+        "variants": ("http://www.f.org/1.html", "", "block"),
+        "their other form": ("https://f.org/1?utm_source=feed", "<link rel=canonical href=http://x.net/es/5>", "block"),
+        "other attribute": ("http://g.org/1", "<link rel=canonical data-href=http://x.net/es/1>", "allow"),
+        "no markup": ("http://h.org/1", None, "allow"),
+    }
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h, _) in own.items()], "page_id string, url string, html string")
+    assert {r.page_id: r.verdict for r in urlfilter.judged(pages, URL_RULES).collect()} == {k: v for k, (_, _, v) in own.items()}
+    alone = {r.page_id: r.verdict for r in urlfilter.judged(pages, URL_RULES, usual=False).collect()}
+    assert alone["variants"] == "allow" and alone["their other form"] == "block"
+
+
+def test_first_of_equally_long_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", "")], "page_id long, url string, html string")
+    for a, b in (("allow", "block"), ("block", "allow")):
+        assert urlfilter.judged(pages, [(a, "a.org/x"), (b, "a.org/x")]).first().verdict == a
+
+
 # --- 9 BPE
 
 

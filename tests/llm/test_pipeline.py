@@ -29,6 +29,21 @@ def test_columns_and_rows(stages):
     assert tokens.count() == mixed.count()
 
 
+def test_toxicity_stage_matches_brute_force(spark, stages):
+    """The rows that a model fitted likewise rejects, scored feature by feature, and no others are gone."""
+    import math
+
+    from spanloom.llm import hashed, toxicity
+
+    model = toxicity.train(stages[0], spark.read.parquet(f"{SF}/labels.parquet"))
+    weight = dict(zip(model.places.tolist(), model.weights.tolist()))
+    kept = Counter()
+    for d in stages[0].collect():
+        score = sum((1 + math.log(n)) * weight.get(f, 0) for w, n in toxicity.words_of(d.text).items() for f in hashed.features(w))
+        kept[tuple(d)] += score < model.thresholds[0]
+    assert Counter(map(tuple, stages[1].collect())) == +kept
+
+
 def test_line_stage_matches_brute_force(stages):
     from test_operators import brute_lines
 
@@ -37,34 +52,12 @@ def test_line_stage_matches_brute_force(stages):
 
     kept = Counter()
     for d in stages[1].collect():
-        gone = want.get((d.doc_id, xxhash.xxh64_intdigest((d.text or "").encode()) - 2**63), (0, []))[1]
+        gone = want.get((d.doc_id, xxhash.xxh64_intdigest((d.text or "").encode()) - 2**63), (0, [], []))[1]
         kept[d.doc_id, "\n".join(x for i, x in enumerate(d.text.split("\n")) if i not in gone)] += 1
     got = Counter((d.doc_id, d.text) for d in stages[2].collect())
     assert sum((got & kept).values()) >= 0.99 * sum(kept.values())  # banding may miss a pair at the threshold
 
 
-def test_line_stage_matches_brute_force_of_its_width(stages):
-    import xxhash
-    from spanloom.llm.linededup import WIDTH
-    from test_operators import classes
-
-    lines = [(d.doc_id, xxhash.xxh64_intdigest((d.text or "").encode()) - 2**63, i, x) for d in stages[1].collect() for i, x in enumerate((d.text or "").split("\n")) if x.strip(" \t\n\v\f\r")]
-    lines = sorted(set(lines))
-    sets = [{x[-1][i : i + WIDTH] for i in range(max(1, len(x[-1]) - WIDTH + 1))} for x in lines]
-    near = [(i, j) for i in range(len(lines)) for j in range(i) if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    seen, gone = set(), set()
-    for line, c in zip(lines, classes(len(lines), near)):
-        if c in seen:
-            gone.add(line[:3])
-        seen.add(c)
-    kept = Counter()
-    for d in stages[1].collect():
-        key = xxhash.xxh64_intdigest((d.text or "").encode()) - 2**63
-        kept[d.doc_id, "\n".join(x for i, x in enumerate(d.text.split("\n")) if (d.doc_id, key, i) not in gone)] += 1
-    got = Counter((d.doc_id, d.text) for d in stages[2].collect())
-    assert sum((got & kept).values()) >= 0.99 * sum(kept.values())  # banding may miss a pair at the threshold
-
-
 def test_near_stage_matches_brute_force(stages):
     from test_operators import brute_components, brute_fingerprint
 
@@ -73,6 +66,27 @@ def test_near_stage_matches_brute_force(stages):
     assert {d.doc_id for d in stages[3].collect()} == want and stages[3].count() == len(want)
 
 
+def test_mix_stage_matches_brute_force(stages):
+    """Whole repetitions, and once more the documents that come first in the hash order, while half of one still fits."""
+    import hashlib
+
+    from test_operators import brute_targets, n_words
+
+    docs = stages[3].collect()
+    sizes = Counter()
+    for d in docs:
+        sizes[d.source] += n_words(d.text)
+    want = Counter()
+    for source, target in brute_targets(dict(sizes)).items():
+        whole = int(target // sizes[source]) if sizes[source] else 0
+        rest, upto = target - whole * sizes[source], 0
+        mine = sorted((int(hashlib.md5(f"10:{d.doc_id}:{d.text}".encode()).hexdigest()[:15], 16), d.doc_id, n_words(d.text)) for d in docs if d.source == source)
+        for _, i, n in mine:
+            upto += n
+            want[i] += 1 if not n else whole + (rest > 0 and upto - n / 2 <= rest)
+    assert Counter(d.doc_id for d in stages[4].collect()) == +want
+
+
 def test_mix_and_tokens(stages):
     import hashlib
 
