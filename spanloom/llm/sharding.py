@@ -47,15 +47,41 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
         at = at.withColumn("fine", _prefix(F.col("key"), F.lit(base))).join(large, "fine", "left_semi").select("key", "n_bytes")
 
 
+def _directories(shards: DataFrame) -> DataFrame:
+    """(base, parent, local, entries): each pass's directory for a prefix of ``base`` bits, the array that its next
+    ``local - base`` bits index.  A shard stands under as many entries as its depth is short of the local one; null
+    where no shard of the pass is."""
+    start = F.call_function("shiftleft", F.col("prefix"), (F.lit(BITS) - F.col("depth")).cast("int"))
+    own = F.struct(start.alias("start"), "depth", "prefix", "shard_bytes")
+    parent = F.call_function("shiftright", "prefix", (F.col("depth") - F.col("base")).cast("int"))
+    # at most 2**STEP shards in each
+    rows = shards.groupBy("base", parent.alias("parent")).agg(F.max("depth").alias("local"), F.sort_array(F.collect_list(own)).alias("own"))
+    kind = "array<struct<start:bigint,depth:int,prefix:bigint,shard_bytes:bigint>>"
+    gap = F.lit(None).cast(kind[6:-1])
+    place = lambda s: _slot(s["start"], F.col("local"), F.col("base")).cast("int")
+    spread = lambda s: F.call_function("shiftleft", F.lit(1), (F.col("local") - s["depth"]).cast("int"))
+    step = lambda done, s: F.concat(done, F.array_repeat(gap, place(s) - F.size(done)), F.array_repeat(s, spread(s)))
+    return rows.select("base", "parent", "local", F.aggregate("own", F.array().cast(kind), step).alias("entries"))
+
+
+def _slot(bits, local, base):
+    """The number that the bits from ``base`` up to ``local`` make."""
+    return _prefix(bits, local).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (local - base).cast("int")) - 1)
+
+
 def _looked_up(keys: DataFrame, shards: DataFrame) -> DataFrame:
-    """``keys`` (key, ...) with depth, prefix and shard_bytes: each pass's directory has an entry for every prefix of
-    its full depth, so a shard, however shallow, spreads over the entries that point to it."""
-    bases = sorted(r[0] for r in shards.select("base").distinct().collect()) or [0]  # five at most
-    spare = F.lit(STEP) + F.col("base") - F.col("depth")
-    entries = shards.select("*", F.explode(F.expr(f"sequence(0L, shiftleft(1L, {STEP} + base - depth) - 1)")).alias("i"))
-    entries = entries.select("base", (F.col("prefix") * F.pow(F.lit(2.0), spare).cast("long") + F.col("i")).alias("entry"), "depth", "prefix", "shard_bytes")
-    rows = keys.select("*", F.explode(F.array(*[F.lit(b) for b in bases])).alias("base"))
-    return rows.withColumn("entry", _prefix(F.col("key"), F.col("base") + STEP)).join(entries, ["base", "entry"]).drop("base", "entry")
+    """``keys`` (key, ...) with depth, prefix and shard_bytes, from the directory of the pass that settled each."""
+    found = checkpointed(_directories(shards))
+    bases = sorted(r[0] for r in found.select("base").distinct().collect()) or [0]  # five at most
+    deeper = bases[1:] if bases[0] == 0 else bases
+    entry = F.get("entries", _slot(F.col("key"), F.col("local"), F.col("base")).cast("int"))
+    done = lambda rows: rows.select(*keys.columns, entry.alias("_shard")).where("_shard is not null").select(*keys.columns, "_shard.depth", "_shard.prefix", "_shard.shard_bytes")
+    # the first directory is one row of at most 2**STEP entries
+    out = done(keys.withColumn("base", F.lit(0)).join(F.broadcast(found.where("base = 0")), "base"))
+    if deeper:
+        more = keys.select("*", F.explode(F.array(*[F.lit(b) for b in deeper])).alias("base")).withColumn("parent", _prefix(F.col("key"), F.col("base")))
+        out = out.unionByName(done(more.join(found.where("base > 0"), ["base", "parent"])))
+    return out
 
 
 def assigned(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
