@@ -1,12 +1,14 @@
 """Fuzzy line dedup: MinHash of character shingles, banding, exact Jaccard verification, distributed union-find.
 
 Lines are cut at ``\\n``; those with a word take part.  Equal lines share a 128-bit id, so only different lines are
-compared.  A line's signature has 8 bands of 4 minima over its shingles of 5 characters (one changed character costs 5 of them, so
-it is bridged from 49 characters on); at a Jaccard similarity of 0.8 two lines share a band with probability 0.985, at
-0.9 with 0.9999.  Lines that share a band key are compared exactly, by
-their sets of shingles.  A key with many lines is dealt out as pairs of blocks of at most about ``BLOCK`` lines, so that
-no task gathers it; within a pair, a line is compared with a component only until it has joined it, and only a spanning
-forest leaves.  Of each component of similar lines the first line in the order of (doc_id, line number) stays.
+compared.  A line's signature has 11 bands of 5 minima over its shingles of 5 characters (one changed character costs 5 of
+them, so it is bridged from 49 characters on); at a Jaccard similarity of 0.8 two lines share a band with probability
+0.987, at 0.9 with 0.99997.  Beside its band keys a line has a sketch, 4 bits of each of 16 minima: lines of one key go on
+only if a line with at least ``AGREE`` equal parts is beside them, which at 0.8 all but one pair in 10,000 have and chance
+meetings hardly ever do.  What is left is compared exactly, by sets of shingles.  A key with many lines is dealt out as
+pairs of blocks of at most about ``BLOCK`` lines, so that no task gathers it; within a pair, a line is compared with a
+component only until it has joined it, and only a spanning forest leaves.  Of each component of similar lines the first
+line in the order of (doc_id, line number) stays.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ from pyspark.sql import functions as F
 from ._common import checkpointed, fresh, in_arrow, stored
 from .components import connected_components
 
-WIDTH, BANDS, ROWS, SIMILARITY = 5, 8, 4, 0.8
+WIDTH, BANDS, ROWS, SIMILARITY = 5, 11, 5, 0.8
+#: Minima in a sketch, and how many must agree.
+SKETCH, AGREE = 16, 7
 #: Characters that are hashed at a time: the arrays stay in a core's cache.
 CHARS = 1 << 16
 #: Lines of a block of a key's lines.
 BLOCK = 256
 #: Bits of the filter that keeps most lines that no other resembles from being shuffled; 8 MB whatever the input.
 FILTER_BITS = 26
-_A = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) * (i * i + 3)) % 2**64 | 1 for i in range(16 * ROWS)], np.uint64)
+_A = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) * (i * i + 3)) % 2**64 | 1 for i in range(64)], np.uint64)
 _P = np.uint64(0x100000001B3)
 _SPACES = " \t\n\v\f\r"
 
@@ -63,9 +67,10 @@ def _shingles(lines: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndar
     return h, np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """MinHash band keys, a row of ``BANDS`` for each (non-empty) line."""
-    return np.concatenate([_signed(*_shingles(part)) for part in _parts(lines)]) if lines else np.empty((0, BANDS), np.uint64)
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash band keys, a row of ``BANDS`` for each (non-empty) line, and sketches."""
+    got = [_signed(*_shingles(part)) for part in _parts(lines)]
+    return (np.concatenate([k for k, _ in got]), np.concatenate([s for _, s in got])) if got else (np.empty((0, BANDS), np.uint64), np.empty(0, np.uint64))
 
 
 def _parts(lines: list[str]) -> Iterator[list[str]]:
@@ -80,17 +85,35 @@ def _parts(lines: list[str]) -> Iterator[list[str]]:
         at = stop
 
 
-def _signed(h: np.ndarray, starts: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """Band keys (16 bands at most) of sets of hashes that begin at ``starts``."""
+def _signed(h: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and sketches of sets of hashes that begin at ``starts``; 64 minima at most."""
     out, mixed = np.empty((len(starts), bands), np.uint64), np.empty_like(h)
+    sketch, taken = np.zeros(len(starts), np.uint64), 0
     for b in range(bands):
         key = np.full(len(starts), b + 1, np.uint64)
-        for r in range(ROWS):
-            low = np.minimum.reduceat(np.multiply(h, _A[b * ROWS + r], out=mixed), starts)
+        for r in range(rows):
+            low = np.minimum.reduceat(np.multiply(h, _A[b * rows + r], out=mixed), starts)
             key = (key ^ (low >> np.uint64(17))) * np.uint64(0x9FB21C651E98DF25)
             key ^= key >> np.uint64(31)
+            # the first minimum of every band, then the second of the first bands
+            if r == 0 or r == 1 and b < SKETCH - bands:
+                if taken < SKETCH:
+                    sketch |= ((low >> np.uint64(20)) & np.uint64(15)) << np.uint64(4 * taken)
+                taken += 1
         out[:, b] = key
-    return out
+    return out, sketch
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many parts of two sketches are equal."""
+    x = a ^ b
+    x = (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & np.uint64(0x1111111111111111)
+    return SKETCH - np.bitwise_count(x)
+
+
+def _handle(name: bytes) -> int:
+    """The first half of a 128-bit id, as a signed number."""
+    return int.from_bytes(name[:8], "big", signed=True)
 
 
 def _of(text: str | None) -> Iterator[tuple[int, str]]:
@@ -100,8 +123,8 @@ def _of(text: str | None) -> Iterator[tuple[int, str]]:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line, id, bands, size) for each line; ``bands`` and ``size``, its number of different shingles,
-    are null where a task met the line before.  A text without lines has one row, of line -1 and a null id."""
+    """(doc_id, text_key, line, id, bands, sketch) for each line; ``bands`` and ``sketch`` are null where a task met the line
+    before.  A text without lines has one row, of line -1 and a null id."""
 
     def run(batches):
         seen: set[bytes] = set()
@@ -132,63 +155,85 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                         names.append(None)
                     chars += len(text or "")
                     at += 1
-                bands, size = [None] * len(names), [None] * len(names)
+                bands, sketch = [None] * len(names), [None] * len(names)
                 if new:
-                    part = [line for _, line in new]
-                    for (i, _), row, mine in zip(new, signatures(part), _sets(part)):
-                        bands[i], size[i] = row.tobytes(), len(mine)
+                    keys, sketches = signatures([line for _, line in new])
+                    for (i, _), row, mine in zip(new, keys, sketches.view(np.int64).tolist()):
+                        bands[i], sketch[i] = row.tobytes(), mine
                 if names:
-                    yield {"doc_id": doc, "text_key": key, "line": no, "id": names, "bands": bands, "size": size}
+                    yield {"doc_id": doc, "text_key": key, "line": no, "id": names, "bands": bands, "sketch": sketch}
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, text_key long, line int, id binary, bands binary, size int")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, text_key long, line int, id binary, bands binary, sketch long")
 
 
-def _shared_keys(occurrences: DataFrame, bands: int = BANDS, least: float = SIMILARITY) -> DataFrame:
-    """(key, id) of the band keys that two or more different lines have whose sizes allow that similarity.
-
-    In order of size, a line that has no line of a size near enough beside it has none at all under its key.
-    """
+def _shared_keys(occurrences: DataFrame, bands: int = BANDS) -> DataFrame:
+    """(key, id) of the band keys that two or more different lines have whose sketches agree; ``id`` is a line's handle."""
 
     def spread(batches):
         for b in batches:
             keys = np.frombuffer(b"".join(b["bands"].to_pylist()), np.int64)
-            at = pa.array(np.repeat(np.arange(len(b["id"])), bands))
-            yield {"key": keys, "size": b["size"].take(at), "id": b["id"].take(at)}
+            ids = np.fromiter(map(_handle, b["id"].to_pylist()), np.int64, len(b["id"]))
+            yield {"key": keys, "id": np.repeat(ids, bands), "sketch": np.repeat(np.asarray(b["sketch"]), bands)}
 
-    def runs(batches):
-        key = last = None
-        size, out = 0, False  # of the line before, and whether it has left
+    def whole_keys(batches):
+        """Arrays of key, id and sketch that do not cut a key's rows."""
+        held: list[tuple] = []
         for b in batches:
-            ks, ids, names = [], [], b["id"].to_pylist()
-            for k, n, i in zip(b["key"].to_pylist(), b["size"].to_pylist(), names):
-                if k != key:
-                    key, last, size, out = k, i, n, False
-                elif i != last:
-                    near = size >= least * n
-                    if near:
-                        if not out:
-                            ks.append(k)
-                            ids.append(last)
-                        ks.append(k)
-                        ids.append(i)
-                    last, size, out = i, n, near
-            if ks:
-                yield {"key": ks, "id": ids}
-
-    rows = in_arrow(occurrences.where("bands is not null").select("id", "bands", "size"), spread, "key long, size int, id binary")
-    # a key with one row is the rule: singles leave in order of the key alone
-    rows = rows.repartition("key").sortWithinPartitions("key", "size", "id")
-    return in_arrow(rows, runs, "key long, id binary")
+            now = tuple(np.asarray(b[c]) for c in ("key", "id", "sketch"))
+            if not len(now[0]):
+                continue
+            if held and now[0][0] == now[0][-1] == held[-1][0][-1]:
+                held.append(now)
+                continue
+            now = tuple(np.concatenate([h[i] for h in [*held, now]]) for i in range(3))
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            yield tuple(x[:cut] for x in now)
+            held = [tuple(x[cut:] for x in now)]
+        if held:
+            yield tuple(np.concatenate([h[i] for h in held]) for i in range(3))
+
+    def runs(batches):
+        for key, name, sketch in whole_keys(batches):
+            # equal lines of a key follow each other
+            first = np.ones(len(key), bool)
+            first[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+            key, name, sketch = key[first], name[first], sketch[first].view(np.uint64)
+            same = np.zeros(len(key) + 1, bool)
+            same[1:-1] = key[1:] == key[:-1]
+            many = same[:-1] | same[1:]
+            key, name, sketch = key[many], name[many], sketch[many]
+            if not len(key):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            near = np.zeros(len(key), bool)
+            two = starts[sizes == 2]
+            near[two] = near[two + 1] = _agree(sketch[two], sketch[two + 1]) >= AGREE
+            for lo, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                mine = sketch[lo : lo + n]
+                if n > 4096:  # a key of so many lines is no chance meeting
+                    near[lo : lo + n] = True
+                    continue
+                for i in range(0, n, 256):
+                    meet = _agree(mine[i : i + 256, None], mine[None, :]) >= AGREE
+                    near[lo + i : lo + min(n, i + 256)] = meet.sum(1) > 1  # each agrees with itself
+            if near.any():
+                yield {"key": key[near], "id": name[near]}
+
+    rows = in_arrow(occurrences.where("bands is not null").select("id", "bands", "sketch"), spread, "key long, id long, sketch long")
+    rows = rows.repartition("key").sortWithinPartitions("key", "id")
+    return in_arrow(rows, runs, "key long, id long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, pieces: Callable = _of) -> DataFrame:
-    """(id, text) of lines (or other pieces of a text), all of those in ``wanted`` among them, some more than once.
+    """(id, name, text) of lines (or other pieces of a text), all of those whose handles are in ``wanted`` among them; a
+    line comes once.
 
     A filter of a fixed size keeps most others back; where it is full, all lines come, and the join that follows is
     exact all the same.
     """
     place = F.col("place")
-    at = F.conv(F.substring(F.hex("id"), 1, 15), 16, 10).cast("long").bitwiseAND(2**FILTER_BITS - 1)
+    at = F.shiftright("id", 4).bitwiseAND(2**FILTER_BITS - 1)
     words = wanted.select(at.alias("place")).groupBy(F.shiftright(place, 5).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(31).cast("int"))).alias("bits"))
     got = words.toArrow()  # at most 2**21 rows
     filled = np.zeros(2 ** (FILTER_BITS - 5), np.uint32)
@@ -199,21 +244,24 @@ def _texts(docs: DataFrame, wanted: DataFrame, pieces: Callable = _of) -> DataFr
         bits, seen = sent.value, set()
         for b in batches:
             for lo in range(0, len(b["text"]), 256):
-                ids, lines = [], []
+                ids, names, lines = [], [], []
                 for text in b["text"].slice(lo, 256).to_pylist():
                     for _, line in pieces(text):
                         name = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-                        place = (int.from_bytes(name[:8], "big") >> 4) & (2**FILTER_BITS - 1)
+                        at = _handle(name)
+                        place = (at >> 4) & (2**FILTER_BITS - 1)
                         if bits[place >> 5] >> (place & 31) & 1 and name not in seen:
                             if len(seen) > 200_000:
                                 seen.clear()
                             seen.add(name)
-                            ids.append(name)
+                            ids.append(at)
+                            names.append(name)
                             lines.append(line)
                 if ids:
-                    yield {"id": ids, "text": lines}
+                    yield {"id": ids, "name": names, "text": lines}
 
-    return in_arrow(docs.select(F.col("text").cast("string")), run, "id binary, text string")
+    found = in_arrow(docs.select(F.col("text").cast("string")), run, "id long, name binary, text string")
+    return found.repartition("id").groupBy("id", "name").agg(F.first("text").alias("text"))
 
 
 def _sets(lines: list[str]) -> Iterator[np.ndarray]:
@@ -234,7 +282,7 @@ def _similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 def _verified(batches: Iterator[dict], sets: Callable = _sets, least: float = SIMILARITY) -> Iterator[dict]:
-    """Edges (a, b) from rows (key, x, y, block, id, text) sorted by (key, x, y, id): of block pairs of a key."""
+    """Edges (a, b) of names from rows (key, x, y, block, name, text) sorted by (key, x, y, name): of block pairs of a key."""
     at = last = None
     members: list[tuple[int, bytes, np.ndarray]] = []
     parent: list[int] = []
@@ -247,7 +295,7 @@ def _verified(batches: Iterator[dict], sets: Callable = _sets, least: float = SI
         return i
 
     for b in batches:
-        rows = zip(*(b[c].to_pylist() for c in ("key", "x", "y", "block", "id")), sets(b["text"].to_pylist()))
+        rows = zip(*(b[c].to_pylist() for c in ("key", "x", "y", "block", "name")), sets(b["text"].to_pylist()))
         for key, x, y, block, name, mine in rows:
             if (key, x, y) != at:
                 at, members, parent, last = (key, x, y), [], [], None
@@ -273,18 +321,21 @@ def similar_lines(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, occurrences: DataFrame, pieces: Callable = _of, sets: Callable = _sets, bands: int = BANDS, least: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) of ids, enough to connect all pieces whose sets are similar, from (id, bands, size) of each."""
-    shared = checkpointed(_shared_keys(occurrences, bands, least))
+    """Edges (a, b) of ids, enough to connect all pieces whose sets are similar, from (id, bands, sketch) of each.
+
+    Handles, half an id, find candidates: should two different lines share one, both are compared, under their ids.
+    """
+    shared = checkpointed(_shared_keys(occurrences, bands))
     groups = shared.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))
     # keys of one set of lines need one comparison
     groups = groups.groupBy("n", "s").agg(F.min("key").alias("key")).select("key", "n")
     shared = checkpointed(shared.join(groups, "key"))
     text = _texts(docs, shared.select("id").distinct(), pieces)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = shared.join(text, "id").select("key", "id", "text", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+    rows = shared.join(text, "id").select("key", "name", "text", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "text")
-    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+    rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "name", "text")
+    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "name")
     return in_arrow(rows, partial(_verified, sets=sets, least=least), "a binary, b binary")
 
 

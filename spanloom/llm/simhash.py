@@ -29,8 +29,8 @@ from .components import connected_components
 SEED, BITS = 42, 3
 #: Fingerprints under one key of two segments beyond which the key takes a third.
 HOT = 4096
-#: MinHash bands of a text where links by similarity are asked for.
-DOC_BANDS = 16
+#: MinHash bands of a text, and minima of each, where links by similarity are asked for.
+DOC_BANDS, DOC_ROWS = 16, 4
 _U = np.uint64
 
 
@@ -259,16 +259,17 @@ def keep_one(docs: DataFrame, width: int = 3, similarity: float | None = None) -
                     at += 1
                 out = {c: b[c].slice(lo, at - lo) for c in ("doc_id", "text_key")}
                 out["fp"] = pa.array(np.fromiter(map(_folded, some), _U, len(some)).view(np.int64))
-                out["id"], out["bands"], out["size"] = ([None] * len(some) for _ in range(3))
+                out["id"], out["bands"], out["sketch"] = ([None] * len(some) for _ in range(3))
                 if similarity is not None and n:
                     full = [i for i, h in enumerate(some) if len(h)]
                     starts = np.cumsum([0, *(len(some[i]) for i in full[:-1])])
-                    for i, row in zip(full, linededup._signed(np.concatenate(some), starts, DOC_BANDS)):
-                        out["id"][i], out["bands"][i], out["size"][i] = xxhash.xxh3_128_digest(texts[lo + i]), row.tobytes(), len(np.unique(some[i]))
+                    keys, sketches = linededup._signed(np.concatenate(some), starts, DOC_BANDS, DOC_ROWS)
+                    for i, row, mine in zip(full, keys, sketches.view(np.int64).tolist()):
+                        out["id"][i], out["bands"][i], out["sketch"][i] = xxhash.xxh3_128_digest(texts[lo + i]), row.tobytes(), mine
                 yield out
 
     slim = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(mark).alias("text_key"))
-    rows = stored(in_arrow(slim, run, "doc_id long, text_key string, fp long, id binary, bands binary, size int"))
+    rows = stored(in_arrow(slim, run, "doc_id long, text_key string, fp long, id binary, bands binary, sketch long"))
     more = None if similarity is None else _similar_texts(docs, rows, width, similarity)
     labelled = _labelled(docs, rows.select("doc_id", "text_key", "fp"), more)
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), F.col("doc_id").isNull(), F.col("text_key"))

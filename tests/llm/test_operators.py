@@ -581,11 +581,11 @@ def test_banding_recall():
         w = a.split()
         w[r.randrange(40)] = "q"
         b = " ".join(w)
-        x, y = ({t[i : i + 9] for i in range(len(t) - 8)} for t in (a, b))
+        x, y = ({t[i : i + linededup.WIDTH] for i in range(len(t) - linededup.WIDTH + 1)} for t in (a, b))
         if len(x & y) >= 0.8 * len(x | y):
             n += 1
-            s = linededup.signatures([a, b])
-            hit += bool((s[0] == s[1]).any())
+            s, sketch = linededup.signatures([a, b])
+            hit += bool((s[0] == s[1]).any()) and linededup._agree(sketch[:1], sketch[1:])[0] >= linededup.AGREE
     assert n > 100 and hit >= 0.97 * n
 
 
