@@ -13,6 +13,10 @@ TERM = r"[\p{L}\p{N}_]{2,}"
 FOLD_FROM, FOLD_TO = "‘’‚‛“”„–—‒―", "''''\"\"\"----"
 
 
+#: Fixed value: characters that file names cannot hold.
+ILLEGAL = r'[<>:"/\\|?*\x00-\x1f]'
+
+
 def ltrim(c: Column) -> Column:
     return F.ltrim(c, F.lit(WHITE))
 
@@ -48,7 +52,7 @@ def fold(text: Column) -> Column:
 
 def safe_id(name: Column, fallback: str = "document") -> Column:
     """A file-safe id: illegal characters to ``_``, no dots or spaces at the edges, at most 120 characters."""
-    clean = F.left(F.btrim(F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_"), F.lit(". ")), F.lit(120))
+    clean = F.left(F.btrim(F.regexp_replace(name, ILLEGAL, "_"), F.lit(". ")), F.lit(120))
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit(fallback))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import providers
 from ..functions import text as T
+from ..session import settled
 from . import chunking
 
 #: The known augmentations in the order in which they are shown.
@@ -31,8 +32,12 @@ def clean_keywords(answer: Column, n: int = 8) -> Column:
     return F.array_join(F.slice(F.filter(items, lambda x: x != ""), 1, n), ", ")
 
 
+#: Fixed value: what marks an item of a list.
+LIST_MARK = r"^\s*(?:[-*•]|\d+[.)])\s*"
+
+
 def clean_questions(answer: Column) -> Column:
-    lines = F.transform(F.split(answer, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*", "")))
+    lines = F.transform(F.split(answer, "\n"), lambda x: F.trim(F.regexp_replace(x, LIST_MARK, "")))
     return F.filter(lines, lambda x: x != "")
 
 
@@ -45,16 +50,20 @@ def with_titles(chunks: DataFrame, k: int = 5, model=providers.first_sentence) -
 
 def summarised(docs: DataFrame, most: int, model=providers.first_sentence, tokens=T.n_words, rounds: int = 20) -> DataFrame:
     """(doc_id, summary): texts are cut in equal pieces of at most ``most`` tokens, summed up piece by piece and joined,
-    until one piece is left of each."""
-    now = docs.select("doc_id", "text")
+    until one piece is left of each.  A model that does not get there in ``rounds`` is an error."""
+    now, done = docs.select("doc_id", "text"), None
     for _ in range(rounds):
-        pieces = now.select("doc_id", F.posexplode(chunking.equal_pieces(F.col("text"), tokens(F.col("text")), most)).alias("i", "piece"))
+        pieces = now.select("doc_id", F.posexplode(chunking.equal_pieces(F.coalesce("text", F.lit("")), F.coalesce(tokens(F.col("text")), F.lit(0)), most)).alias("i", "piece"))
         pieces = pieces.select("doc_id", F.struct("i", F.coalesce(model(F.col("piece")), F.lit("")).alias("s")).alias("p"))
-        done = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
-        now = done.select("doc_id", F.size("p").alias("n"), F.array_join(F.transform("p", lambda x: x["s"]), "\n").alias("text"))
-        if not now.where("n > 1").limit(1).count():
-            break
-    return now.select("doc_id", F.col("text").alias("summary"))
+        made = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
+        made = settled(made.select("doc_id", F.size("p").alias("n"), F.array_join(F.transform("p", lambda x: x["s"]), "\n").alias("text")))
+        # documents of one piece are through; the others go round again
+        out = made.where("n = 1").select("doc_id", F.col("text").alias("summary"))
+        done = out if done is None else done.unionByName(out)
+        now = made.where("n > 1").select("doc_id", "text")
+        if not now.limit(1).count():
+            return done
+    raise ValueError(f"summaries do not shrink to {most} tokens in {rounds} rounds")
 
 
 def with_context(chunks: DataFrame, docs: DataFrame, most: int = 8000, model=providers.first_sentence) -> DataFrame:

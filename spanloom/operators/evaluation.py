@@ -7,18 +7,27 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
 from . import spans as S
 
 KS = (1, 3, 5, 10)
 
 
-def per_question(ranking: DataFrame, evidence: DataFrame, items: DataFrame, chunks: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+def gold_documents(evidence: DataFrame, named: DataFrame) -> DataFrame:
+    """(item_id, doc_id): the documents of an item's evidence; of an item without any, those that it names."""
+    own = evidence.select("item_id", "doc_id").distinct()
+    return own.unionByName(named.select("item_id", "doc_id").distinct().join(own, "item_id", "left_anti"))
+
+
+def per_question(ranking: DataFrame, evidence: DataFrame, items: DataFrame, chunks: DataFrame, ks: tuple[int, ...] = KS, gold: DataFrame | None = None) -> DataFrame:
     """(item_id, grp, name, value), long: all metrics of every item of ``items`` (item_id).
 
-    ``ranking`` holds (item_id, rank, doc_id, start, end); ``evidence`` (item_id, doc_id, start, end), whose documents
-    are the gold ones; ``chunks`` the index's spans.  Items without evidence have no span metrics.
+    ``ranking`` holds (item_id, rank, doc_id, start, end); ``evidence`` (item_id, doc_id, start, end); ``chunks`` the
+    index's spans; ``gold`` (item_id, doc_id) the documents that ``doc_hit`` looks for, those of the evidence if none
+    are given.  Items without evidence have no span metrics.
     """
-    gold = evidence.select("item_id", "doc_id").distinct()
+    ranking, evidence = kept(ranking), kept(evidence)  # both are small and read several times
+    gold = (evidence if gold is None else gold).select("item_id", "doc_id").distinct()
     hits = S.overlapping(ranking, evidence, ["item_id", "doc_id"]).select("item_id", "rank").distinct().withColumn("hit", F.lit(1))
     docs = ranking.join(gold, ["item_id", "doc_id"], "left_semi").select("item_id", "rank").withColumn("doc", F.lit(1))
     marked = ranking.select("item_id", "rank").join(hits, ["item_id", "rank"], "left").join(docs, ["item_id", "rank"], "left")

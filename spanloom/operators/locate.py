@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import settled
 
 
 def anchored(items: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, needle, doc_id, text) of all pairs that may match: no pair of an item and a document is looked at
     unless the document has the item's longest inner word, which any containing document has as a whole word.
 
-    Items of fewer than three words have no inner word and meet all documents; they are expected to be few.
+    Only ids and words are matched; texts are fetched for the pairs that are left.  Items of fewer than three words have
+    no inner word and meet all documents; they are expected to be few.
     """
-    words = F.filter(F.split("needle", "[ \\t\\n\\r]+"), lambda w: w != "")
+    split = lambda c: F.filter(F.split(c, "[ \\t\\n\\r]+"), lambda w: w != "")
+    words = split("needle")
     inner = F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2))
     anchor = F.reduce(inner, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
     rows = items.select("item_id", "needle", anchor.alias("anchor"))
-    there = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", "[ \\t\\n\\r]+"))).alias("anchor"))
-    # the few anchors go first: only documents that hold one keep their text
-    hits = there.join(rows.where("anchor <> ''"), "anchor").select("item_id", "needle", "doc_id", "text")
+    there = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \\t\\n\\r]+"))).alias("anchor"))
+    hits = there.join(rows.where("anchor <> ''"), "anchor").select("item_id", "needle", "doc_id")
+    hits = hits.join(docs.select("doc_id", "text"), "doc_id").select("item_id", "needle", "doc_id", "text")
     short = rows.where("anchor = ''")
     return hits.unionByName(short.select("item_id", "needle").join(docs.select("doc_id", "text"), F.expr("locate(needle, text) > 0")))
 
@@ -48,9 +53,22 @@ def match_kinds(items: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def occurrences(text: Column, needle: Column) -> Column:
-    """All places of a needle, overlapping ones included."""
-    last = F.length(text) - F.length(needle)
-    return F.when(last < 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(text, i + 1, F.length(needle)) == needle))
+    """All places of a needle, overlapping ones included; none of an empty one."""
+
+    @F.pandas_udf("array<int>")
+    def places(texts: pd.Series, needles: pd.Series) -> pd.Series:
+        def of(t: str | None, n: str | None) -> list[int] | None:
+            if t is None or n is None:
+                return None
+            out, at = [], t.find(n) if n else -1
+            while at >= 0:
+                out.append(at)
+                at = t.find(n, at + 1)
+            return out
+
+        return pd.Series([of(t, n) for t, n in zip(texts, needles)], dtype=object)
+
+    return places(text, needle)
 
 
 def rebuilt(rows: DataFrame, key: str, order: str, text: str, gap: int = 2) -> DataFrame:
@@ -95,31 +113,68 @@ def as_of(log: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     return hit.groupBy(key, "at").agg(F.max_by("value", "ts").alias("value"))
 
 
-def chain_ends(moves: DataFrame, rounds: int = 32) -> DataFrame:
-    """(source, final): where each page stands after all moves; pointers double every round."""
-    now = moves.select("source", F.col("target").alias("final"))
-    for _ in range(rounds):
+def chain_ends(moves: DataFrame) -> DataFrame:
+    """(source, final): where each page stands after all moves; null if its moves run in a circle.
+
+    Pointers double every round, and each round is written to the checkpoint folder.  After as many doublings as the
+    number of moves has binary digits, only circles still point at a page that moves."""
+    now = settled(moves.select("source", F.col("target").alias("final")))
+    for _ in range(now.count().bit_length()):
         hop = now.select(F.col("source").alias("final"), F.col("final").alias("next"))
-        new = now.join(hop, "final", "left").select("source", F.coalesce("next", "final").alias("final"))
-        if not new.exceptAll(now).limit(1).count():
+        new = now.join(hop, "final", "left").select("source", F.coalesce("next", "final").alias("final"), F.col("next").isNotNull().alias("moved"))
+        new = settled(new)
+        going = new.where("moved").limit(1).count()
+        now = new.select("source", "final")
+        if not going:
             return now
-        now = new
-    return now
-
-
-def retagged(cleaned: list[str], tagged: list[tuple[str, str]]) -> list[str | None]:
-    """Tags for cleaned lines, an ordered subsequence of tagged ones: two pointers, None where a line is not found."""
-    out, at = [], 0
-    for line in cleaned:
-        i = at
-        while i < len(tagged) and tagged[i][0] != line:
-            i += 1
-        if i < len(tagged):
-            out.append(tagged[i][1])
-            at = i + 1
-        else:
-            out.append(None)
-    return out
+    still = now.select(F.col("source").alias("final"), F.lit(1).alias("circle"))
+    return now.join(still, "final", "left").select("source", F.when(F.col("circle").isNull(), F.col("final")).alias("final"))
+
+
+def retagged(cleaned: list[str], tagged: list[tuple[str | None, str]]) -> list[tuple[str | None, str]]:
+    """(tag, line) of cleaned lines, an ordered subsequence of the stripped lines of (tag, line) pairs.  Once a line is
+    not found the alignment is lost: it and all that follow have no tag."""
+    rest = iter(tagged)
+    return [(next((tag for tag, raw in rest if raw.strip() == line), None), line) for line in cleaned]
+
+
+def with_tags(docs: DataFrame, key: str) -> DataFrame:
+    """(key, line, tag, text) for documents (key, cleaned array<string>, tagged array<struct<tag, text>>), a document at
+    a time in Arrow batches."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for k, cleaned, tagged in zip(*(b.column(i).to_pylist() for i in range(3))):
+                out += [(k, i, tag, line) for i, (tag, line) in enumerate(retagged(cleaned or [], [(t["tag"], t["text"]) for t in tagged or []]))]
+            cols = list(zip(*out)) or [[]] * 4
+            kinds = (b.schema.field(0).type, pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [key, "line", "tag", "text"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "cleaned", "tagged").mapInArrow(run, f"{key} {kind}, line int, tag string, text string")
+
+
+def section_spans(heads: DataFrame, key: str) -> DataFrame:
+    """As :func:`section_ends`, with a stack over each key's heads in one pass: for keys with many heads."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for k, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                stack: list[tuple[int, int]] = []
+                for h in own:
+                    while stack and stack[-1][1] >= h["level"]:
+                        pos, level = stack.pop()
+                        out.append((k, pos, level, h["pos"]))
+                    stack.append((h["pos"], h["level"]))
+                out += [(k, pos, level, None) for pos, level in stack]
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field(0).type, pa.int64(), pa.int32(), pa.int64()))], [key, "pos", "level", "end_pos"])
+
+    own = F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.col("level").cast("int").alias("level"))))
+    packed = heads.groupBy(key).agg(own.alias("own"))
+    return packed.mapInArrow(run, f"{key} {heads.schema[key].dataType.simpleString()}, pos long, level int, end_pos long")
 
 
 def within_budget(rows: DataFrame, budget: int) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators import evaluation as E
 from ..operators import locate as L
 from ..operators import retrieval as R
 from ..operators import spans as S
+from ..session import kept
 from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,18 +147,18 @@ def paragraph_spans(spark, d):
 ) SELECT doc_id, CAST(sum(length(regexp_replace(piece, '[^A-Za-zÀ-ÿ]', '', 'g'))) AS BIGINT) AS letters FROM s GROUP BY doc_id""")
 def sentence_letters(spark, d):
     """Letters inside sentence spans: all of the text's, as spans only leave white space out."""
-    s = C.by_document(_t(spark, d, "documents"), C.sentence_spans)
+    s = C.by_document(_t(spark, d, "documents"), lambda t: C.sentence_spans(t, True))
     return s.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("chunk_text", "[^A-Za-zÀ-ÿ]", ""))).alias("letters"))
 
 
 @query()
 def sentence_spans(spark, d):
-    return C.by_document(_t(spark, d, "documents"), C.sentence_spans).select("doc_id", "chunk_index", "start", "end")
+    return C.by_document(_t(spark, d, "documents"), lambda t: C.sentence_spans(t, True)).select("doc_id", "chunk_index", "start", "end")
 
 
 @query("SELECT doc_id, length(text) AS covered FROM documents WHERE length(text) > 0")
 def sentence_pieces(spark, d):
-    p = C.by_document(_t(spark, d, "documents"), C.sentence_pieces)
+    p = C.by_document(_t(spark, d, "documents"), lambda t: C.sentence_pieces(t, True))
     return p.groupBy("doc_id").agg(F.sum(F.length("chunk_text")).alias("covered"))
 
 
@@ -304,11 +305,11 @@ def span_union_length(spark, d):
 
 
 @query(f"""WITH {_W}, {_EV}, e AS (SELECT DISTINCT doc_id, unnest(generate_series(start, "end" - 1)) AS c FROM ev),
-k AS (SELECT DISTINCT doc_id, unnest(generate_series(start, "end" - 1)) AS c FROM chunks WHERE chunk_index % 2 = 0)
+k AS (SELECT DISTINCT doc_id, unnest(generate_series(start, "end" - 1)) AS c FROM chunks)
 SELECT doc_id, count(*) AS shared FROM e JOIN k USING (doc_id, c) GROUP BY doc_id""")
 def span_coverage(spark, d):
-    """Characters of evidence that every other chunk of a document covers."""
-    return S.shared_length(_chunks(spark, d).where("chunk_index % 2 = 0"), _evidence(spark, d), ["doc_id"]).select("doc_id", F.col("shared").cast("long").alias("shared"))
+    """Characters of evidence that a document's chunks cover."""
+    return S.shared_length(_chunks(spark, d), _evidence(spark, d), ["doc_id"]).select("doc_id", F.col("shared").cast("long").alias("shared"))
 
 
 @query(f'WITH {_EV} SELECT item_id, doc_id, start, "end" FROM ev')
@@ -394,18 +395,25 @@ def rerank_topk(spark, d):
 # --- evaluation
 
 
+def _named(spark, d):
+    """What an item without evidence names: the document of its own number."""
+    return _t(spark, d, "benchmark").select("item_id", F.col("item_id").alias("doc_id"))
+
+
 def _metrics(spark, d):
-    chunks = _chunks(spark, d)
+    chunks = kept(_chunks(spark, d))
     spans = chunks.select("doc_id", "chunk_index", "start", "end")
     ranking = R.bm25(chunks, _items(spark, d), 10).join(spans, ["doc_id", "chunk_index"]).select("item_id", "rank", "doc_id", "start", "end")
-    return E.per_question(ranking, _evidence(spark, d), _items(spark, d), spans)
+    evidence = kept(_evidence(spark, d))
+    return E.per_question(ranking, evidence, _items(spark, d), spans, gold=E.gold_documents(evidence, _named(spark, d)))
 
 
 _METRICS = _BM25.replace("{k}", "10") + f""", {_EV}, ks AS (SELECT unnest([1, 3, 5, 10]) AS k),
+has AS (SELECT DISTINCT item_id FROM ev),
+gold AS (SELECT DISTINCT item_id, doc_id FROM ev UNION ALL SELECT item_id, item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM has)),
 rk AS (SELECT bm.item_id, bm.rank, c.doc_id, c.start, c."end" FROM bm JOIN chunks c USING (doc_id, chunk_index)),
 h AS (SELECT rk.*, EXISTS (SELECT 1 FROM ev WHERE ev.item_id = rk.item_id AND ev.doc_id = rk.doc_id AND ev.start < rk."end" AND rk.start < ev."end") AS hit,
-  EXISTS (SELECT 1 FROM ev WHERE ev.item_id = rk.item_id AND ev.doc_id = rk.doc_id) AS doc FROM rk),
-has AS (SELECT DISTINCT item_id FROM ev),
+  EXISTS (SELECT 1 FROM gold WHERE gold.item_id = rk.item_id AND gold.doc_id = rk.doc_id) AS doc FROM rk),
 rel AS (SELECT ev.item_id, count(DISTINCT (c.doc_id, c.chunk_index)) AS n FROM ev JOIN chunks c ON c.doc_id = ev.doc_id AND c.start < ev."end" AND ev.start < c."end" GROUP BY 1),
 ec AS (SELECT DISTINCT item_id, doc_id, unnest(generate_series(start, "end" - 1)) AS c FROM ev),
 rc AS (SELECT DISTINCT k, item_id, doc_id, unnest(generate_series(start, "end" - 1)) AS c FROM rk, ks WHERE rank <= k),
@@ -421,6 +429,11 @@ m AS (
 ), pq AS (SELECT item_id, CASE WHEN item_id IN (SELECT item_id FROM has) THEN 'evidence' ELSE 'no_evidence' END AS grp, name, round(CAST(value AS DOUBLE), 6) AS value FROM m)"""
 
 
+@query(f"WITH {_EV} SELECT DISTINCT item_id, doc_id FROM ev UNION ALL SELECT item_id, item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM ev)")
+def gold_documents(spark, d):
+    return E.gold_documents(_evidence(spark, d), _named(spark, d))
+
+
 @query(f"WITH {_W}, {_METRICS} SELECT * FROM pq")
 def eval_per_question(spark, d):
     return _metrics(spark, d)

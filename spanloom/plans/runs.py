@@ -22,16 +22,19 @@ AUGMENTERS: dict[str, Callable] = {"title": augmentation.with_titles, "context":
 
 
 def as_list(value) -> list:
-    return list(value) if isinstance(value, (list, tuple)) else [value]
+    """A text as a list of itself, nothing as an empty list."""
+    return [value] if isinstance(value, str) else list(value or ())
 
 
 def is_none(method) -> bool:
-    return method in (None, "none")
+    """Whether a config's entry stands for leaving the step out."""
+    return not method or method == "none"
 
 
 def check_keys(entry: dict, allowed: Iterable[str], where: str) -> None:
-    if unknown := sorted(set(entry) - set(allowed)):
-        raise ValueError(f"{where}: unknown keys {unknown}")
+    """A key that nothing reads is an error; a description may stand anywhere."""
+    if extra := sorted(entry.keys() - {*allowed, "description"}):
+        raise ValueError(f"{where} has keys that nothing reads: {', '.join(extra)}")
 
 
 def sweep(params: dict, fixed: Sequence[str] = ()) -> list[dict]:
@@ -79,24 +82,27 @@ def plan(config: dict, where: str = "config") -> list[dict]:
 
 
 def resolve(known: Sequence[str], targets) -> list[str]:
-    """Known run folders that are named, globbed or ``all``; order kept, no repeats; none is an error."""
-    out: list[str] = []
+    """Known run folders that are named, globbed or ``all``; order kept, no repeats.  A target that selects none is an
+    error, whatever the others select."""
+    out: dict[str, None] = {}
     for t in as_list(targets):
-        hits = list(known) if t == "all" else [k for k in known if fnmatch.fnmatch(k, t)]
-        out += [h for h in hits if h not in out]
-    if not out:
-        raise ValueError(f"no run matches {targets!r}")
-    return out
+        hits = [k for k in known if t == "all" or fnmatch.fnmatchcase(k, t)]
+        if not hits:
+            raise ValueError(f"no run matches {t!r}")
+        out |= dict.fromkeys(hits)
+    return list(out)
 
 
-def run_each(runs: Sequence[dict], run: Callable[[dict], None], dry_run: bool = False, keep_going: bool = False) -> list[tuple[str, str]]:
-    """Runs in turn; the failures (directory, error), which end it unless ``keep_going``."""
-    failed = []
-    for r in [] if dry_run else runs:
+def run_each(runs: Sequence[dict], run: Callable[[dict], None], dry_run: bool = False, keep_going: bool = False) -> None:
+    """Runs in turn.  The first failure is raised at once or, with ``keep_going``, all of them together at the end."""
+    failed: list[Exception] = []
+    for r in () if dry_run else runs:
         try:
             run(r)
-        except Exception as e:  # noqa: BLE001
-            failed.append((r["directory"], str(e)))
+        except Exception as e:
             if not keep_going:
-                break
-    return failed
+                raise
+            e.add_note(f"in {r['directory']}")
+            failed.append(e)
+    if failed:
+        raise ExceptionGroup(f"{len(failed)} of {len(runs)} runs failed", failed)

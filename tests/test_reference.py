@@ -164,6 +164,16 @@ def test_merge_and_overlap(spark):
 # --- evaluation
 
 
+def test_gold_documents_without_spans(spark):
+    """A question without evidence whose document comes second: only doc_hit, 0 and then 1."""
+    r = spark.createDataFrame([(1, 1, 5, 0, 9), (1, 2, 7, 0, 9)], "item_id long, rank int, doc_id long, start int, end int")
+    none = spark.createDataFrame([], "item_id long, doc_id long, start int, end int")
+    gold = E.gold_documents(none, spark.createDataFrame([(1, 7)], "item_id long, doc_id long"))
+    chunks = spark.createDataFrame([(7, 0, 0, 9)], "doc_id long, chunk_index int, start int, end int")
+    got = {x.name: x.value for x in E.per_question(r, none, spark.createDataFrame([(1,)], "item_id long"), chunks, gold=gold).collect()}
+    assert got == {"doc_hit@1": 0, "doc_hit@3": 1, "doc_hit@5": 1, "doc_hit@10": 1}
+
+
 def metrics(spark, ranking, evidence, chunks):
     r = spark.createDataFrame([(i, n, d, s, e) for i, n, d, s, e in ranking], "item_id long, rank int, doc_id long, start int, end int")
     v = spark.createDataFrame(evidence, "item_id long, doc_id long, start int, end int")
@@ -208,6 +218,41 @@ def test_dense_is_exact_in_blocks(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     got = R.dense(v, v, 3)
     assert got.count() == 3 * v.count()
+    odd = spark.createDataFrame([(-1, None), (-2, [0.0] * 64), (-3, [float("nan")] * 64), (None, [1.0] * 64)], v.schema)
+    again = R.dense(v.unionByName(odd), v.unionByName(odd), 3, block=64, asked=32)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_index_on_disk(spark, tmp_path):
+    chunks = C.fixed_char(docs(spark, "the cat sat. the dog ran", "a dog of the cat", "other words", None), 1000, 0)
+    asked = spark.createDataFrame([(1, "the dog"), (2, "nothing")], "item_id long, query string")
+    for stop in ((), R.STOP_EN):
+        R.write_index(chunks, str(tmp_path / "index"), stop)
+        index = R.open_index(spark, str(tmp_path / "index"), 3)
+        got, want = R.bm25(index, asked, 5), R.bm25(chunks, asked, 5, stop)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 2
+    whole = R.filled(got, chunks, asked, 3).orderBy("item_id", "rank").collect()
+    assert [(r.item_id, r.doc_id) for r in whole] == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)] or {r.doc_id for r in whole[:3]} == {0, 1, 2}
+    assert [r.score for r in whole[3:]] == [0, 0, 0]
+    with pytest.raises(ValueError, match="holds 3"):
+        R.open_index(spark, str(tmp_path / "index"), 4)
+
+
+def test_windows_are_checked_and_linear(spark):
+    import time
+
+    for bad in ((0, 0), (5, 5), (5, 6)):
+        for chunker in (C.fixed_char, C.fixed_token):
+            with pytest.raises(ValueError):
+                chunker(docs(spark, "a b"), *bad)
+    took = []
+    for n in (100_000, 800_000):
+        d = docs(spark, "some words " * (n // 11))
+        began = time.time()
+        C.fixed_char(d, 200, 50).agg(F.sum("start")).collect()
+        d.select(F.size(L.occurrences(F.col("text"), F.lit("w"))), F.size(C.equal_pieces(F.col("text"), T.n_words(F.col("text")), 50))).collect()
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 8
 
 
 # --- augmentation and text
@@ -250,9 +295,17 @@ def test_locate_and_reconstruction(spark):
     assert [(r.item_id, r.doc_id, r.start, r.end) for r in L.exact(items, d).orderBy("item_id").collect()] == [(1, 0, 4, 9), (3, 2, 2, 4)]
     kinds = {r.item_id: r.kind for r in L.match_kinds(items, d).collect()}
     assert kinds == {1: "exact", 2: "folded", 3: "exact"}
-    assert L.retagged(["a", "c", "x", "d"], [("a", "p"), ("b", "p"), ("c", "h1"), ("d", "p")]) == ["p", "h1", None, "p"]
+    assert L.retagged(["a", "c", "x", "d"], [("p", "a"), ("p", "b"), ("h1", "c"), ("p", "d")]) == [("p", "a"), ("h1", "c"), (None, "x"), (None, "d")]
+    books = spark.createDataFrame([(1, ["a", "d"], [("p", " a "), ("h1", "b"), ("p", "d")]), (2, None, None)], "book long, cleaned array<string>, tagged array<struct<tag:string,text:string>>")
+    assert [tuple(r) for r in L.with_tags(books, "book").collect()] == [(1, 0, "p", "a"), (1, 1, "p", "d")]
     moves = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8)], "source long, target long")
     assert {r.source: r.final for r in L.chain_ends(moves).collect()} == {1: 4, 2: 4, 3: 4, 9: 8}
+    circle = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 1), (5, 6), (8, 8)] + [(i, i + 1) for i in range(100, 170)], "source long, target long")
+    ends = {r.source: r.final for r in L.chain_ends(circle).collect()}
+    assert [ends[i] for i in (1, 2, 3, 7, 5, 8)] == [None] * 4 + [6, None] and all(ends[i] == 170 for i in range(100, 170))
+    assert L.chain_ends(circle.limit(0)).count() == 0
+    heads = spark.createDataFrame([(k, p, (p * 7 + k) % 4 + 1) for k in range(3) for p in range(25)], "doc long, pos long, level int")
+    assert sorted(map(str, L.section_spans(heads, "doc").collect())) == sorted(map(str, L.section_ends(heads, "doc").collect()))
     b = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (3, 1)], "item_id long, doc_id long")
     assert [r.item_id for r in L.within_budget(b, 2).orderBy("item_id").collect()] == [1, 3]
 
@@ -306,7 +359,17 @@ def test_plan():
     def fail(r):
         raise RuntimeError(json.dumps(r["params"]))
 
-    assert len(runs.run_each(made, fail, keep_going=True)) == 12 and len(runs.run_each(made, fail)) == 1 and not runs.run_each(made, fail, dry_run=True)
+    with pytest.raises(ValueError, match="typo"):
+        runs.resolve(["a", "b"], ["a", "typo"])
+    assert [runs.as_list(x) for x in (None, "", "a", ["a"], ("a", "b"))] == [[], [""], ["a"], ["a"], ["a", "b"]]
+    assert all(map(runs.is_none, (None, "", "none"))) and not runs.is_none("title")
+    runs.check_keys({"description": "d", "a": 1}, ["a"], "x")
+    with pytest.raises(ExceptionGroup) as e:
+        runs.run_each(made, fail, keep_going=True)
+    assert len(e.value.exceptions) == 12
+    with pytest.raises(RuntimeError):
+        runs.run_each(made, fail)
+    runs.run_each(made, fail, dry_run=True)
 
 
 def test_stream_chunks_once(spark, tmp_path):
