@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import report_queries  # noqa: F401  registers its queries
 from .plans.queries import ORACLE, QUERIES
 
 

@@ -5,8 +5,12 @@ Any of them can be replaced by an Arrow UDF of the same shape; operators take th
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,3 +43,73 @@ def chars_counter(text: Column) -> Column:
 def words_counter(text: Column) -> Column:
     """Token count by words: 1.2 a word, half to even."""
     return F.bround(F.lit(1.2) * T.n_words(text)).cast("int")
+
+
+def hashed_words(texts: list[str], width: int = 64) -> np.ndarray:
+    """Stub embedding: counts of a text's terms by CRC-32 modulo ``width``."""
+    out = np.zeros((len(texts), width))
+    for row, t in zip(out, texts):
+        for w in re.findall(r"\w{2,}", t.lower()):
+            row[zlib.crc32(w.encode("utf-8", "surrogatepass")) % width] += 1
+    return out
+
+
+class BpeTokens:
+    """Tokens of a byte-level BPE vocabulary file; ``path`` must be readable on every executor, where it is opened once."""
+
+    def __init__(self, path: str, pattern: str):
+        self.path, self.pattern, self._codec = path, pattern, None
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "pattern": self.pattern, "_codec": None}
+
+    @property
+    def codec(self):
+        if self._codec is None:
+            import tiktoken
+            from tiktoken.load import load_tiktoken_bpe
+
+            self._codec = tiktoken.Encoding("bpe", pat_str=self.pattern, mergeable_ranks=load_tiktoken_bpe(self.path), special_tokens={})
+        return self._codec
+
+    def count(self, text: str) -> int:
+        return len(self.codec.encode_ordinary(text))
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Tokens as spans of characters, for chunkers; a character that tokens share belongs to the first, and tokens
+        that have none of their own are left out."""
+        starts = self.codec.decode_with_offsets(self.codec.encode_ordinary(text))[1] if text else []
+        edges = [*dict.fromkeys(starts), len(text)]
+        return list(zip(edges, edges[1:]))
+
+    def truncate(self, text: str, most: int) -> tuple[str, bool]:
+        """The text up to at most ``most`` tokens, without a character that is cut, and whether anything is gone."""
+        ids = self.codec.encode_ordinary(text)
+        if len(ids) <= most:
+            return text, False
+        return self.codec.decode_bytes(ids[: max(0, most)]).decode("utf-8", "ignore"), True
+
+    def fit(self, query: str, documents: list[str], most: int, special: int = 2) -> list[tuple[str, bool]]:
+        """Documents cut so that each makes a pair with the query, and the pair's special tokens, within ``most``."""
+        left = most - self.count(query) - special
+        return [self.truncate(d, left) for d in documents]
+
+    def counter(self) -> TextModel:
+        """The count as a column function."""
+        tokens = self
+
+        @F.pandas_udf("int")
+        def count(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: tokens.count(t or "")).astype("int32")
+
+        return count
+
+    def truncated(self, text: Column, most: int) -> Column:
+        """``struct(text, cut)`` of a column."""
+        tokens = self
+
+        @F.pandas_udf("text string, cut boolean")
+        def cut(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([tokens.truncate(t or "", most) for t in texts], columns=["text", "cut"])
+
+        return cut(text)

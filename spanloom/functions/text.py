@@ -100,3 +100,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def holds(text: Column, asked: Column) -> Column:
+    """Whether a text has another in it, whatever the case."""
+    return F.lower(text).contains(F.lower(asked))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,3 +84,34 @@ def updated(chunks: DataFrame, **changes: Column) -> DataFrame:
     questions = F.col("questions") if "questions" in rows.columns else F.array().cast("array<string>")
     built = text_to_embed(F.col("chunk_text"), part("summary"), part("title"), part("doc_summary"), part("context"), part("keywords"), questions)
     return rows.withColumn("text_to_embed", F.nullif(built, F.col("chunk_text")))
+
+
+def with_document_summaries(chunks: DataFrame, docs: DataFrame, most: int = 64_000, model=providers.first_sentence) -> DataFrame:
+    """Adds ``doc_summary``, one for each document, to all of its chunks."""
+    return chunks.join(summarised(docs, most, model).withColumnRenamed("summary", "doc_summary"), "doc_id", "left")
+
+
+def with_keywords(chunks: DataFrame, count: int = 8, model=providers.frequent_terms) -> DataFrame:
+    """Adds ``keywords``: a model's answer, cleaned, at most ``count`` of them."""
+    return chunks.withColumn("keywords", clean_keywords(F.coalesce(model(F.col("chunk_text")), F.lit("")), count))
+
+
+def with_questions(chunks: DataFrame, model=providers.first_sentence) -> DataFrame:
+    """Adds ``questions``: a model's answer by lines, without list marks."""
+    return chunks.withColumn("questions", clean_questions(F.coalesce(model(F.col("chunk_text")), F.lit(""))))
+
+
+def with_summaries(chunks: DataFrame, model=providers.first_sentence) -> DataFrame:
+    """Adds ``summary``, which replaces the chunk in the text to embed."""
+    return chunks.withColumn("summary", model(F.col("chunk_text")))
+
+
+def embedded_text(built: Column, original: Column) -> Column:
+    """What is embedded: the built text, or the chunk's own where none was kept."""
+    return F.coalesce(built, original)
+
+
+def prompt(template: str, **parts: Column) -> Column:
+    """A prompt template's text with each ``{name}`` filled from a column (null: nothing)."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(parts[x].cast("string"), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(pieces)])

@@ -8,7 +8,7 @@ import itertools
 import re
 from collections.abc import Callable, Iterable, Sequence
 
-from ..operators import augmentation, chunking
+from ..operators import augmentation, chunking, semantic
 
 CHUNKERS: dict[str, Callable] = {
     "fixed_char": chunking.fixed_char,
@@ -17,8 +17,18 @@ CHUNKERS: dict[str, Callable] = {
     "markdown": chunking.markdown_sections,
     "html": chunking.html_sections,
     "boundary": chunking.boundary_chunks,
+    "semantic": semantic.semantic,
+    "tiled": semantic.tiled,
+    "clustered": semantic.clustered,
+}
+AUGMENTERS: dict[str, Callable] = {
+    "title": augmentation.with_titles,
+    "doc_summary": augmentation.with_document_summaries,
+    "context": augmentation.with_context,
+    "keywords": augmentation.with_keywords,
+    "questions": augmentation.with_questions,
+    "summary": augmentation.with_summaries,
 }
-AUGMENTERS: dict[str, Callable] = {"title": augmentation.with_titles, "context": augmentation.with_context}
 
 
 def as_list(value) -> list:

@@ -146,6 +146,97 @@ def test_clustered_cuts_at_percentile_of_each_document(spark):
     assert C.clustered(rows, percentile=100).count() == 3
 
 
+def test_chunkers_over_texts_agree_with_those_over_vectors(spark):
+    """From sentences and an embedding to chunks, against the window forms on the same vectors."""
+    import random
+
+    from spanloom.operators import semantic as V
+
+    r = random.Random(3)
+    text = " ".join(" ".join(r.choice(WORDS[k : k + 4]) for _ in range(6)) + "." for k in (0, 0, 0, 4, 4, 8, 8, 8, 8, 0, 4, 4) for _ in range(2))
+    sentences = C.sentence_spans(text)
+    n = len(sentences)
+
+    def table(vectors):
+        return spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(vectors)], "doc long, pos long, vec array<double>")
+
+    def chunks(firsts):
+        edges = [0, *firsts, n]
+        return [(sentences[a][0], sentences[b - 1][1]) for a, b in zip(edges, edges[1:])]
+
+    v = V.providers.hashed_words(V.window_texts(text, sentences, 1, 1))
+    groups = C.semantic_groups(table(v), 80).orderBy("first_pos").collect()
+    assert V.semantic_spans(text, V.providers.hashed_words, 80) == chunks([g.first_pos for g in groups[1:]])
+    runs_ = C.clustered(table(v), 10**6).orderBy("first_pos").collect()
+    assert V.clustered_spans(text, V.providers.hashed_words, max_tokens=10**6) == chunks([x.first_pos for x in runs_[1:]])
+    assert all(len(text[s:e].split()) <= 20 for s, e in V.clustered_spans(text, V.providers.hashed_words, max_tokens=20))
+    blocks = V.providers.hashed_words(V.window_texts(text, sentences, 0, 2))
+    cuts = C.tiled_boundaries(table(blocks), 3, 90, 2).orderBy("pos").collect()
+    assert V.tiled_spans(text, V.providers.hashed_words, 3, 90, 2) == chunks([c.pos for c in cuts])
+    assert V.tiled_spans("A b. C d. E f.", V.providers.hashed_words) == [(0, 14)] and V.tiled_spans(" ", V.providers.hashed_words) == []
+    d = docs(spark, text, "One sentence only", "", None)
+    for chunker in (V.semantic, V.tiled, V.clustered):
+        got = chunker(d)
+        assert C.violations(d, got).count() == 0 and got.where("doc_id = 1").count() == 1 and got.where("doc_id > 1").count() == 0
+
+
+WORDS = "alpha beta gamma delta river water flood stream stock market price trade".split()
+
+
+def test_bpe_tokens(spark):
+    import random
+
+    from spanloom.plans.report_queries import _tokens
+
+    pytest.importorskip("public_tokenizers")
+    t, r = _tokens(), random.Random(4)
+    for _ in range(200):
+        text = "".join(r.choice("ab é \n😀ñ中.,1") for _ in range(r.randrange(60)))
+        ids = t.codec.encode_ordinary(text)
+        assert t.count(text) == len(ids)
+        spans = t.spans(text)
+        assert "".join(text[s:e] for s, e in spans) == text and len(spans) <= len(ids)
+        cut, gone = t.truncate(text, 5)
+        assert text.startswith(cut) and gone == (len(ids) > 5) and t.count(cut) <= 5 + 3
+    assert t.fit("two words", ["short", "long words " * 50], 20)[0] == ("short", False)
+    assert t.fit("two words", ["long words " * 50], 20)[0][1]
+    d = docs(spark, "some text é 😀 " * 40, None)
+    got = C.fixed_token(d, 16, 4, t.spans)
+    assert C.violations(d, got).count() == 0 and all(t.count(x.chunk_text) <= 20 for x in got.collect())
+
+
+def test_squeezed_map_places(spark):
+    from spanloom.operators import reconstruction as B
+
+    texts = ["  a  b\n\nc ", "x", "", " ", "a b", "😀\t y"]
+    got = docs(spark, *texts).orderBy("doc_id").select(B.squeezed_map(F.col("text")).alias("m")).collect()
+    for t, (m,) in zip(texts, got):
+        assert m.text == " ".join(t.split()) and len(m.places) == len(t) + 1 and m.places[-1] == len(m.text)
+        assert all(m.text[m.places[i]] == c for i, c in enumerate(t) if not c.isspace())
+    at = docs(spark, "a b\n c d").select(B.solid_place(F.col("text"), F.lit("b  c")).alias("x"), B.solid_place(F.col("text"), F.lit("bd")).alias("y")).first()
+    assert tuple(at.x) == (2, 6) and at.y is None
+
+
+def test_cost_cells(spark):
+    from spanloom.operators import reports as P
+
+    rows = spark.createDataFrame([("tok", 12345.6), ("s", 1.23456), ("s", 0.0123456), ("s", None), ("s", 123.456)], "name string, v double")
+    assert [r[0] for r in rows.select(P.cost_cell(F.col("name"), F.col("v"))).collect()] == ["12,346", "1.23", "0.0123", "–", "123"]
+
+
+def test_run_summary(spark):
+    from spanloom.operators import reports as P
+
+    m = spark.createDataFrame([(1, "evidence", "hit@1", 1.0), (2, "evidence", "hit@1", 0.0), (3, "no_evidence", "doc_hit@1", 1.0)], "item_id long, grp string, name string, value double")
+    c = spark.createDataFrame([(1, 0, 10), (1, 10, 30)], "doc_id long, start int, end int")
+    s = spark.createDataFrame([("unanswerable",)], "reason string")
+    got = P.run_summary(m, {"run": "r", "dataset": "d"}, c, s).first()
+    assert (got.run, got.chunks, got.documents, got.mean_chunk_chars, got["items"], got.skipped) == ("r", 2, 1, 15.0, {"evidence": 2, "no_evidence": 1}, {"unanswerable": 1})
+    assert got.metrics == {"evidence": {"hit@1": 0.5}, "no_evidence": {"doc_hit@1": 1.0}}
+    runs_ = spark.createDataFrame([("a", "dense", 50, "bge-m3", None, []), ("b", "dense", 50, "bge-m3", "x", []), ("c", "dense", 50, "bge-m3", None, ["title"])], "run string, retrieval string, top_k int, embedding string, reranking string, augmentations array<string>")
+    assert [r.run for r in P.baseline(runs_).collect()] == ["a"]
+
+
 # --- spans
 
 
