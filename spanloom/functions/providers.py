@@ -35,6 +35,20 @@ def lexical_overlap(query: Column, text: Column) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, T.terms(text))) / F.size(q))
 
 
+def overlap_judge(question: Column, answer: Column, contexts: Column) -> Column:
+    """Stub judge, ``struct(context_precision, context_recall, error)``: a context is useful if it has half of the answer's
+    terms; precision is the average over useful contexts of the share of useful ones so far, recall the share of the
+    answer's terms that any context has.  An answer without terms is an error, as a value."""
+    useful = F.transform(contexts, lambda c: F.when(lexical_overlap(answer, c) >= 0.5, 1.0).otherwise(0.0))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    upto = F.transform(useful, lambda x, i: x * total(F.slice(useful, F.lit(1), i + 1)) / (i + 1))
+    known = F.size(T.terms(answer)) > 0
+    precision = F.round(total(upto) / (total(useful) + 1e-10), 6)
+    recall = F.round(lexical_overlap(answer, F.array_join(contexts, "\n")), 6)
+    error = F.when(known.isNull() | ~known, F.lit("the answer has no terms"))
+    return F.struct(F.when(known, precision).alias("context_precision"), F.when(known, recall).alias("context_recall"), error.alias("error"))
+
+
 def chars_counter(text: Column) -> Column:
     """Token count by characters: a quarter, one at least."""
     return F.greatest(F.lit(1), F.bround(F.length(text) / 4).cast("int"))

@@ -6,8 +6,11 @@ import fnmatch
 import inspect
 import itertools
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Collection, Iterable, Sequence
 
+from pyspark.sql import functions as F
+
+from ..functions import providers
 from ..operators import augmentation, chunking, semantic
 
 CHUNKERS: dict[str, Callable] = {
@@ -15,7 +18,7 @@ CHUNKERS: dict[str, Callable] = {
     "fixed_token": chunking.fixed_token,
     "sentence": lambda docs, max_tokens=256, overlap=0: chunking.by_document(docs, lambda t: chunking.sentence_chunks(t, max_tokens, chunking.resolve_overlap(overlap, max_tokens))),
     "markdown": chunking.markdown_sections,
-    "html": chunking.html_sections,
+    "html": lambda docs, max_tokens=None: chunking.html_sections(docs.select("doc_id", F.col("text").alias("html")), "doc_id", max_tokens),
     "boundary": chunking.boundary_chunks,
     "semantic": semantic.semantic,
     "tiled": semantic.tiled,
@@ -29,6 +32,14 @@ AUGMENTERS: dict[str, Callable] = {
     "questions": augmentation.with_questions,
     "summary": augmentation.with_summaries,
 }
+#: Embedding and reranking models by the name that a config gives them.
+EMBEDDERS: dict[str, Callable] = {"hashed_words": providers.hashed_words}
+RERANKERS: dict[str, Callable] = {"lexical_overlap": providers.lexical_overlap}
+RETRIEVERS = ("sparse", "dense", "hybrid")
+#: The rendering that a chunker reads if its entry names none.
+READS = {"markdown": "md", "html": "html"}
+#: Parameters of chunkers that are no settings: tables and models.
+SUPPLIED = ("docs", "embed", "ask", "tokens")
 
 
 def as_list(value) -> list:
@@ -60,35 +71,82 @@ def run_name(method: str, params: dict | None = None) -> str:
     return re.sub(r"[^\w.=+-]", "_", "-".join(parts))
 
 
+def _choice(value, known: Collection[str], what: str, where: str):
+    if value not in known:
+        raise ValueError(f"{where}: {what} {value!r} is none of {', '.join(known)}")
+    return value
+
+
 def chunking_options(entry: dict, where: str) -> list[dict]:
-    """Validated runs of one ``{method, params}`` entry."""
+    """Validated runs of one ``{method, params, rendering}`` entry, parameters left out filled in.
+
+    ``params.embedding_model`` names the model of a chunker that embeds.  A combination whose overlap is not below its
+    size is left out."""
+    check_keys(entry, ("method", "params", "rendering"), where)
+    method = _choice(entry.get("method"), CHUNKERS, "chunker", where)
+    rendering = _choice(entry.get("rendering") or READS.get(method, "txt"), ("txt", "md", "html"), "rendering", where)
+    accepted = inspect.signature(CHUNKERS[method]).parameters
+    defaults = {k: p.default for k, p in accepted.items() if k not in SUPPLIED}
+    if "embed" in accepted:
+        defaults["embedding_model"] = next(iter(EMBEDDERS))
+    given = entry.get("params", {})
+    check_keys(given, defaults, f"{where}.params")
+    out = []
+    for chosen in sweep(given):
+        full = defaults | chosen
+        size, overlap = full.get("size", full.get("max_tokens")), full.get("overlap")
+        if isinstance(size, int) and isinstance(overlap, int) and overlap >= size:
+            continue
+        if "embed" in accepted:
+            _choice(full["embedding_model"], EMBEDDERS, "embedding model", where)
+        out.append({"method": method, "params": full, "rendering": rendering, "name": run_name(method, chosen)})
+    return out
+
+
+def retrieval_options(entry: dict, where: str) -> list[dict]:
+    """Validated ``{method, top_k, name}`` of one retrieval entry, swept over ``params.top_k``."""
+    check_keys(entry, ("method", "params"), where)
+    method = _choice(entry.get("method"), RETRIEVERS, "retrieval", where)
+    check_keys(entry.get("params", {}), ("top_k",), f"{where}.params")
+    made = [{"method": method, "top_k": p.get("top_k", 50)} for p in sweep(entry.get("params", {}))]
+    return [{**o, "name": run_name(method, {"top_k": o["top_k"]})} for o in made]
+
+
+def reranking_options(entry: dict, where: str) -> list[dict]:
+    """Validated ``{model, top_k, name}`` of one reranking entry ``{method: cross_encoder, params}``."""
     check_keys(entry, ("method", "params"), where)
-    method = entry.get("method")
-    if method not in CHUNKERS:
-        raise ValueError(f"{where}: unknown chunker {method!r}")
-    params = entry.get("params", {})
-    accepted = {p.name for p in inspect.signature(CHUNKERS[method]).parameters.values() if p.name not in ("docs", "pages")}
-    check_keys(params, accepted, f"{where}.params")
-    return [{"method": method, "params": p, "name": run_name(method, p)} for p in sweep(params)]
-
-
-def plan(config: dict, where: str = "config") -> list[dict]:
-    """All runs of a config: datasets by chunkers by sets of augmentations; colliding names are an error."""
-    check_keys(config, ("datasets", "chunking", "augmentations"), where)
-    chunkers = [o for i, e in enumerate(as_list(config["chunking"])) for o in chunking_options(e, f"{where}.chunking[{i}]")]
-    sets = [as_list(a) if not is_none(a) else [] for a in config.get("augmentations", [None])]
-    for s in sets:
-        if unknown := [a for a in s if a not in AUGMENTERS]:
-            raise ValueError(f"{where}: unknown augmentations {unknown}")
-    runs, seen = [], {}
+    _choice(entry.get("method"), ("cross_encoder",), "reranking", where)
+    check_keys(entry.get("params", {}), ("model", "top_k"), f"{where}.params")
+    made = [{"model": _choice(p.get("model"), RERANKERS, "model", where), "top_k": p.get("top_k", 50)} for p in sweep(entry.get("params", {}))]
+    return [{**o, "name": run_name(o["model"], {"top_k": o["top_k"]})} for o in made]
+
+
+def plan(config: dict, where: str = "config", renderings: Callable[[str], Collection[str]] = lambda dataset: ("txt", "md", "html")) -> list[dict]:
+    """All runs of a config: datasets by chunkers by sets of augmentations, each with what to index and ask it with.
+
+    A dataset that lacks a chunker's rendering is passed over; two settings that would share a folder are an error, as is
+    a config that leaves no run."""
+    stages = {"embeddings": lambda e, w: [_choice(e, EMBEDDERS, "embedding model", w)], "retrieval": retrieval_options, "reranking": reranking_options}
+    check_keys(config, ("datasets", "chunking", "augmentations", *stages), where)
+    expand = lambda stage, options: [o for i, e in enumerate(as_list(config.get(stage))) for o in options(e, f"{where}.{stage}[{i}]")]
+    chunkers = expand("chunking", chunking_options)
+    later = {stage: expand(stage, options) for stage, options in stages.items()}
+    sets = [[] if is_none(a) else sorted(as_list(a), key=lambda x: list(AUGMENTERS).index(_choice(x, AUGMENTERS, "augmentation", where))) for a in config.get("augmentations", [None])]
+    made: dict[str, dict] = {}
     for d, c, a in itertools.product(as_list(config["datasets"]), chunkers, sets):
-        run = {"dataset": d, **c, "augmentations": a, "directory": "/".join([d, c["name"], "+".join(a) or "plain"])}
-        if run["directory"] in seen and seen[run["directory"]] != run:
+        if c["rendering"] not in renderings(d):
+            continue
+        run = {"dataset": d, **c, "augmentations": a, "directory": "/".join([d, c["rendering"], c["name"], "+".join(a) or "plain"]), **later}
+        if made.setdefault(run["directory"], run) != run:
             raise ValueError(f"{where}: two runs share {run['directory']}")
-        if run["directory"] not in seen:
-            runs.append(run)
-        seen[run["directory"]] = run
-    return runs
+    if not made:
+        raise ValueError(f"{where}: no run is left")
+    return list(made.values())
+
+
+def fingerprint(run: dict) -> dict:
+    """What decides a run's chunks, every parameter spelled out: a default that changes later is another run."""
+    return {k: run[k] for k in ("dataset", "rendering", "method", "params", "augmentations")}
 
 
 def resolve(known: Sequence[str], targets) -> list[str]:

@@ -439,7 +439,7 @@ def test_files(spark, tmp_path):
 def test_plan():
     config = {"datasets": ["d1", "d2"], "chunking": [{"method": "fixed_char", "params": {"size": [500, 1000], "overlap": 0}}, {"method": "markdown"}], "augmentations": [None, ["title"]]}
     made = runs.plan(config)
-    assert len(made) == 12 and made[0]["directory"] == "d1/fixed_char-overlap=0-size=500/plain"
+    assert len(made) == 12 and made[0]["directory"] == "d1/txt/fixed_char-overlap=0-size=500/plain"
     for bad in ({"datasets": [], "chunking": [], "x": 1}, {"datasets": "d", "chunking": [{"method": "no"}]}, {"datasets": "d", "chunking": [{"method": "fixed_char", "params": {"no": 1}}]}):
         with pytest.raises(ValueError):
             runs.plan(bad)
