@@ -82,8 +82,10 @@ def _chunked(docs: DataFrame, run: dict) -> DataFrame:
     chunks = chunker(docs, **params)
     if "chunk_text" in chunks.columns:
         return chunks
-    # sections of HTML: their text is what stands between the tags
-    return chunks.join(docs.select("doc_id", "text"), "doc_id").withColumn("chunk_text", T.plain_html(T.cut(F.col("text"), F.col("start"), F.col("end")))).drop("text")
+    # sections come as places; those of HTML are read without their tags
+    part = T.cut(F.col("text"), F.col("start"), F.col("end"))
+    plain = T.plain_html(part) if run["rendering"] == "html" else part
+    return chunks.join(docs.select("doc_id", "text"), "doc_id").withColumn("chunk_text", plain).drop("text")
 
 
 def _augmented(chunks: DataFrame, docs: DataFrame, names: list[str]) -> DataFrame:

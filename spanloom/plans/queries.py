@@ -151,7 +151,14 @@ def sentence_letters(spark, d):
     return s.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("chunk_text", "[^A-Za-zÀ-ÿ]", ""))).alias("letters"))
 
 
-@query()
+#: Sentences by line: a mark stands after each break, pieces between marks are trimmed.
+_SENTENCES = f"""WITH p0 AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])(\\s+)', '\\1\\2' || chr(1), 'g'), '(\\n)', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM documents),
+p1 AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM p0),
+p2 AS (SELECT doc_id, p, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM p1),
+se AS (SELECT doc_id, CAST(pos + length(p) - length(ltrim(p, {_WS})) AS INTEGER) AS s, CAST(pos + length(rtrim(p, {_WS})) AS INTEGER) AS e FROM p2 WHERE length(trim(p, {_WS})) > 0)"""
+
+
+@query(_SENTENCES + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS chunk_index, s AS start, e AS \"end\" FROM se")
 def sentence_spans(spark, d):
     return C.by_document(_t(spark, d, "documents"), lambda t: C.sentence_spans(t, True)).select("doc_id", "chunk_index", "start", "end")
 
@@ -199,10 +206,13 @@ def truncate_tokens(spark, d):
 # --- sections
 
 
-@query(r"""WITH p AS (SELECT page_id, html, strpos(lower(html), '<h1') AS place FROM pages)
+_SECTIONS = r"""WITH p AS (SELECT page_id, html, strpos(lower(html), '<h1') AS place FROM pages)
 SELECT page_id, CAST(0 AS INTEGER) AS chunk_index, CAST(0 AS INTEGER) AS start, CAST(place - 1 AS INTEGER) AS "end", CAST(0 AS INTEGER) AS level, '' AS title FROM p WHERE place > 1
 UNION ALL SELECT page_id, 1, CAST(place - 1 AS INTEGER), CAST(length(html) AS INTEGER), 1,
-  trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) FROM p WHERE place > 1""")
+  trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) FROM p WHERE place > 1"""
+
+
+@query(_SECTIONS)
 def html_sections(spark, d):
     return C.html_sections(_t(spark, d, "pages"))
 
@@ -212,7 +222,9 @@ def html_sections_budget(spark, d):
     return C.html_sections(_t(spark, d, "pages"), max_tokens=64)
 
 
-@query()
+@query(rf"""WITH c AS ({_SECTIONS})
+SELECT c.*, coalesce((SELECT string_agg(a.title, ' / ' ORDER BY a.level) FROM c a WHERE a.page_id = c.page_id AND a.level > 0 AND a.chunk_index <= c.chunk_index
+  AND NOT EXISTS (SELECT 1 FROM c b WHERE b.page_id = c.page_id AND b.level BETWEEN 1 AND a.level AND b.chunk_index > a.chunk_index AND b.chunk_index <= c.chunk_index)), '') AS path FROM c""")
 def html_heading_paths(spark, d):
     return C.heading_paths(C.html_sections(_t(spark, d, "pages")), "page_id")
 
@@ -232,7 +244,18 @@ def _markdown(spark, d):
     return md.select(F.col("conv_id").alias("doc_id"), "text")
 
 
-@query()
+@query(rf"""WITH md AS (SELECT conv_id AS doc_id, string_agg(CASE role WHEN 'user' THEN '# ' WHEN 'assistant' THEN '## ' ELSE '### ' END || 'Turn ' || turn || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM md),
+l1 AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+  sum(CASE WHEN regexp_matches(line, '^\s*```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS fenced FROM l0),
+l2 AS (SELECT *, CASE WHEN fenced THEN 0 ELSE length(regexp_extract(line, '^(#{{1,6}})\s', 1)) END AS level FROM l1),
+l3 AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sid FROM l2),
+h AS (SELECT doc_id, sid, min(pos) AS pos, max(level) AS level, trim(max(CASE WHEN level > 0 THEN regexp_extract(line, '^#{{1,6}}\s+(.*)', 1) END), {_WS}) AS title, string_agg(line, chr(10) ORDER BY i) AS part FROM l3 GROUP BY doc_id, sid),
+c AS (SELECT doc_id, sid, level, title, CAST(pos + length(part) - length(ltrim(part, {_WS})) AS INTEGER) AS start, CAST(pos + length(rtrim(part, {_WS})) AS INTEGER) AS "end", length(trim(part, {_WS})) AS solid FROM h)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sid) - 1 AS INTEGER) AS chunk_index, start, "end", CAST(level AS INTEGER) AS level,
+  coalesce((SELECT string_agg(a.title, '/' ORDER BY a.level) FROM c a WHERE a.doc_id = c.doc_id AND a.level > 0 AND a.sid <= c.sid
+    AND NOT EXISTS (SELECT 1 FROM c b WHERE b.doc_id = c.doc_id AND b.level BETWEEN 1 AND a.level AND b.sid > a.sid AND b.sid <= c.sid)), '') AS header_path
+FROM c WHERE solid > 0""")
 def markdown_sections(spark, d):
     return C.markdown_sections(_markdown(spark, d))
 
@@ -545,7 +568,11 @@ def document_summaries(spark, d):
     return A.summarised(_t(spark, d, "documents"), 400)
 
 
-@query()
+@query(rf"""WITH {_W}, x AS (SELECT c.*, d.text, length(d.text) AS n, len(list_filter(regexp_split_to_array(d.text, '[ \t\n\r]+'), lambda w: w <> '')) AS words FROM chunks c JOIN documents d USING (doc_id)),
+y AS (SELECT *, CAST(CASE WHEN words > 500 THEN floor(n * 500 / CAST(words AS DOUBLE)) ELSE n END AS INTEGER) AS width FROM x),
+z AS (SELECT *, greatest(0, least(CAST(floor((start + "end" - width) / 2.0) AS INTEGER), n - width)) AS lo FROM y),
+f AS (SELECT *, {_FS.format(c="substr(text, lo + 1, least(n, lo + width) - lo)")} AS context FROM z)
+SELECT doc_id, chunk_index, context, CASE WHEN context <> '' THEN CAST(length(context) + 2 + length(chunk_text) AS INTEGER) END AS embedded_chars FROM f""")
 def chunk_contexts(spark, d):
     c = A.with_context(_chunks(spark, d), _t(spark, d, "documents"), 500)
     return A.updated(c).select("doc_id", "chunk_index", "context", F.length("text_to_embed").alias("embedded_chars"))
@@ -694,7 +721,11 @@ def move_chain(spark, d):
     return L.chain_ends(m)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EV}, p AS (SELECT item_id, list(DISTINCT doc_id) AS docs, row_number() OVER (ORDER BY item_id) AS n FROM ev GROUP BY item_id),
+w AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS have, CAST(NULL AS BIGINT) AS item_id UNION ALL
+  SELECT p.n, CASE WHEN len(list_distinct(list_concat(w.have, p.docs))) <= 15 THEN list_distinct(list_concat(w.have, p.docs)) ELSE w.have END,
+    CASE WHEN len(list_distinct(list_concat(w.have, p.docs))) <= 15 THEN p.item_id END FROM w JOIN p ON p.n = w.n + 1)
+SELECT item_id FROM w WHERE item_id IS NOT NULL""")
 def budget_select(spark, d):
     return L.within_budget(_evidence(spark, d).select("item_id", "doc_id"), 15)
 
@@ -735,7 +766,10 @@ def token_counts(spark, d):
     return _t(spark, d, "documents").select("doc_id", providers.words_counter(F.col("text")).alias("by_words"), providers.chars_counter(F.col("text")).alias("by_chars"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS ts, unnest(range(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')))) AS i FROM documents),
+f AS (SELECT doc_id, ts[i + 1] AS t, min(i) AS i FROM t WHERE length(ts[i + 1]) >= 5 GROUP BY ALL),
+r AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM f)
+SELECT d.doc_id, coalesce(string_agg(t, ', ' ORDER BY place), '') AS keywords FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND place <= 8 GROUP BY d.doc_id""")
 def stub_keywords(spark, d):
     return _t(spark, d, "documents").select("doc_id", providers.frequent_terms(F.col("text")).alias("keywords"))
 

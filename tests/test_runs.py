@@ -107,3 +107,15 @@ def test_plan_options():
         runs.plan({"datasets": "d", "chunking": [{"method": "markdown"}]}, renderings=lambda d: ["txt"])
     a, b = (runs.plan({"datasets": "d", "chunking": [{"method": "fixed_char", "params": p}]})[0] for p in ({}, {"size": 1000}))
     assert runs.fingerprint(a) == runs.fingerprint(b)
+
+
+def test_sections_have_their_texts(spark, tmp_path):
+    html = "<p>in</p><h1>A &amp; B</h1>x<!-- <h2>no</h2> --><h2>C</h2><script>'<h1>'</script>y"
+    data = X.Dataset({"md": docs(spark, "# A\nx\n## B\ny", None), "html": docs(spark, html, "", None)}, _dataset(spark).items)
+    got = {}
+    for planned in runs.plan({"datasets": "d", "chunking": [{"method": "markdown"}, {"method": "html"}]}, renderings=lambda d: data.renderings):
+        run = X.Run(spark, str(tmp_path), planned, data)
+        run.chunk()
+        got[planned["method"]] = [(r.chunk_index, r.level, r.chunk_text) for r in run.chunks().orderBy("chunk_index").collect()]
+    assert got["markdown"] == [(0, 1, "# A\nx"), (1, 2, "## B\ny")]
+    assert got["html"] == [(0, 0, "in"), (1, 1, "A & B x"), (2, 2, "C y")]
