@@ -766,8 +766,9 @@ def token_counts(spark, d):
     return _t(spark, d, "documents").select("doc_id", providers.words_counter(F.col("text")).alias("by_words"), providers.chars_counter(F.col("text")).alias("by_chars"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS ts, unnest(range(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')))) AS i FROM documents),
-f AS (SELECT doc_id, ts[i + 1] AS t, min(i) AS i FROM t WHERE length(ts[i + 1]) >= 5 GROUP BY ALL),
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS ts FROM documents),
+t AS (SELECT doc_id, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM w),
+f AS (SELECT doc_id, t, min(i) AS i FROM t WHERE length(t) >= 5 GROUP BY ALL),
 r AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM f)
 SELECT d.doc_id, coalesce(string_agg(t, ', ' ORDER BY place), '') AS keywords FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND place <= 8 GROUP BY d.doc_id""")
 def stub_keywords(spark, d):
