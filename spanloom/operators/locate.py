@@ -71,6 +71,15 @@ def occurrences(text: Column, needle: Column) -> Column:
     return places(text, needle)
 
 
+def longest_alias(rows: DataFrame, most: int = 50) -> DataFrame:
+    """Rows (text, aliases, ...) with ``alias``, the longest of the aliases that the text has in any case (ties to the
+    lesser), and ``starts``, its first ``most`` places; rows without one go."""
+    known = F.filter("aliases", lambda a: (F.coalesce(a, F.lit("")) != "") & F.lower("text").contains(F.lower(a)))
+    best = F.array_min(F.transform(known, lambda a: F.struct((-F.length(a)).alias("n"), a.alias("a"))))["a"]
+    found = rows.withColumn("alias", best).where("alias is not null")
+    return found.withColumn("starts", F.slice(occurrences(F.lower("text"), F.lower("alias")), 1, most))
+
+
 def rebuilt(rows: DataFrame, key: str, order: str, text: str, gap: int = 2) -> DataFrame:
     """(key, order, start, end): where each piece lies once a key's pieces are joined by ``gap`` characters."""
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -110,3 +110,14 @@ def run_summary(metrics: DataFrame, run: dict, chunks: DataFrame, skipped: DataF
     for one_row in (size, items, left, means):
         out = out.join(F.broadcast(one_row))
     return out
+
+
+def inspected(chunks: DataFrame, asked: str = "", order: str = "natural") -> DataFrame:
+    """Chunks that hold ``asked`` in any case, with ``place`` in their document's list: in their ``natural`` order, the
+    ``longest`` or the ``shortest`` first, ties in natural order."""
+    by = {"natural": [], "longest": [F.length("chunk_text").desc()], "shortest": [F.length("chunk_text")]}
+    if order not in by:
+        raise ValueError(f"order {order!r} is none of {', '.join(by)}")
+    window = Window.partitionBy("doc_id").orderBy(*by[order], "chunk_index")
+    rows = chunks.where(F.lower("chunk_text").contains(asked.lower())) if asked else chunks
+    return rows.withColumn("place", F.row_number().over(window))

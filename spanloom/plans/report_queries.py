@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
+from ..functions import language as N
 from ..functions import providers
 from ..functions import text as T
 from ..operators import augmentation as A
 from ..operators import chunking as C
+from ..operators import locate as L
 from ..operators import reconstruction as B
 from ..operators import reports as P
 from ..operators import semantic as V
-from .queries import _EV, _evidence, _t, query
+from .queries import _EV, _W, OVERLAP, SIZE, _evidence, _t, query
 
 
 @query(r"SELECT conv_id, turn, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text_md5, length(text) + 1 AS places, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS last_place FROM conversations")
@@ -261,3 +265,29 @@ def chunk_fixed_bpe(spark, d):
 @query("SELECT doc_id, contains(lower(text), 'the') AS has FROM documents")
 def text_contains(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.holds(F.col("text"), F.lit("The")).alias("has"))
+
+
+_COUNTS = ", ".join("len(list_filter(ws, lambda w: w IN (" + ", ".join(f"'{w}'" for w in ws) + f"))) AS {code}" for code, ws in N.COMMON.items())
+_MOST = f"greatest({', '.join(N.COMMON)})"
+
+
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(substr(coalesce(text, ''), 1, 3000)), '\\p{{L}}+') AS ws FROM documents), c AS (SELECT doc_id, {_COUNTS} FROM w)
+SELECT doc_id, CASE WHEN {_MOST} = 0 THEN 'en' {' '.join(f"WHEN {code} = {_MOST} THEN '{code}'" for code in N.COMMON)} END AS detected FROM c""")
+def detected_language(spark, d):
+    return _t(spark, d, "documents").select("doc_id", N.detected(F.col("text")).alias("detected"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS ts FROM documents),
+a AS (SELECT doc_id, text, unnest([translate(ts[1], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ts[5], ts[9], 'no such words']) AS alias FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(alias) DESC, alias) AS place FROM a WHERE alias <> '' AND contains(lower(text), lower(alias)))
+SELECT doc_id, alias, CAST(strpos(lower(text), lower(alias)) - 1 AS INTEGER) AS first FROM r WHERE place = 1""")
+def alias_places(spark, d):
+    """Aliases made of a document's own terms, one in capitals (A to Z only: engines differ beyond), and one that no text has."""
+    term = lambda i: F.get(T.terms(F.col("text")), F.lit(i))
+    rows = _t(spark, d, "documents").select("doc_id", "text", F.array(F.translate(term(0), string.ascii_lowercase, string.ascii_uppercase), term(4), term(8), F.lit("no such words")).alias("aliases"))
+    return L.longest_alias(rows).select("doc_id", "alias", F.get("starts", F.lit(0)).alias("first"))
+
+
+@query(f"""WITH {_W} SELECT doc_id, chunk_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length(chunk_text) DESC, chunk_index) AS INTEGER) AS place FROM chunks WHERE contains(lower(chunk_text), 'de')""")
+def longest_chunks(spark, d):
+    return P.inspected(C.fixed_char(_t(spark, d, "documents"), SIZE, OVERLAP), "De", "longest").select("doc_id", "chunk_index", "place")

@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Folder and extension of a document's renderings.
 RENDERINGS = {"txt": ("txt", "*.txt"), "md": ("md", "*.md"), "html": ("html", "*.html")}
 ITEM = "id string, question string, answer string, evidences array<struct<doc_id:string,text:string,start:int,end:int,match:string,kind:string>>, metadata string"
@@ -119,3 +121,13 @@ def committed(chunks: DataFrame, finished: DataFrame) -> DataFrame:
 def without_failures(verdicts: DataFrame) -> DataFrame:
     """Verdicts that stand; the failed ones are to be judged again."""
     return verdicts.where("error is null")
+
+
+def export_chunks(chunks: DataFrame, path: str, kind: str = "json", tokens=T.n_words) -> None:
+    """Chunks with their length and number of tokens as JSON lines or as CSV with a header, written whole over what was
+    there; line ends and quotes inside a text stay."""
+    if kind not in ("json", "csv"):
+        raise ValueError(f"unknown kind {kind!r}")
+    rows = chunks.select("doc_id", "chunk_index", "start", "end", F.length("chunk_text").alias("length"), tokens(F.col("chunk_text")).alias("tokens"), F.col("chunk_text").alias("text"))
+    out = rows.write.mode("overwrite")
+    out.json(path) if kind == "json" else out.csv(path, header=True, escape='"', quoteAll=True)

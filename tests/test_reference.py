@@ -505,3 +505,34 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_rows_only(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_language(spark):
+    from spanloom.functions import language as N
+
+    rows = docs(spark, "Le chat est dans la maison et le chien", "", None, "123", "Der Hund ist nicht im Haus", "w domu jest kot i nie ma psa")
+    assert [r[0] for r in rows.orderBy("doc_id").select(N.detected(F.col("text"))).collect()] == ["fr", "en", "en", "en", "de", "pl"]
+    assert N.corpus_language(rows.where("doc_id > 2")) == "de" and N.corpus_language(rows.limit(0)) == "en"
+    named = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) >= 200")
+    right, n = named.select(F.count_if(N.detected(F.col("text")) == F.col("lang")), F.count("*")).first()
+    assert right / n > 0.9, (right, n)
+
+
+def test_longest_alias(spark):
+    rows = spark.createDataFrame([(1, "Anan and ANANAS, anan", ["anan", "Ananas", "x", None, ""]), (2, "aa" * 60, ["A"]), (3, "none", ["zz"]), (4, None, ["a"]), (5, "aaaa", ["AA"])], "id long, text string, aliases array<string>")
+    got = {r.id: (r.alias, list(r.starts)) for r in L.longest_alias(rows).collect()}
+    assert got == {1: ("Ananas", [9]), 2: ("A", list(range(50))), 5: ("AA", [0, 1, 2])}
+
+
+def test_inspect_and_export(spark, tmp_path):
+    from spanloom.operators import reports
+
+    c = C.fixed_char(docs(spark, 'ab "q", x\ny cd', None), 8, 0)
+    assert [r.chunk_index for r in reports.inspected(c, order="shortest").orderBy("place").collect()] == [1, 0]
+    assert reports.inspected(c, "CD").count() == 1
+    with pytest.raises(ValueError):
+        reports.inspected(c, order="no")
+    for kind in ("json", "csv"):
+        files.export_chunks(c, str(tmp_path / kind), kind)
+    back = spark.read.csv(str(tmp_path / "csv"), header=True, escape='"', multiLine=True).select("text", "tokens").collect()
+    assert {(r.text, int(r.tokens)) for r in back} == {(r.text, r.tokens) for r in spark.read.json(str(tmp_path / "json")).collect()} and len(back) == 2
