@@ -343,6 +343,37 @@ def test_top_k_stops_early_and_right():
         assert [(-int(v), j) for j, v in zip(ids.tolist(), score.tolist())] == want
 
 
+def shuffled_bytes(spark, action):
+    """Bytes that the stages of ``action`` write to shuffles."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = lambda: {(s := found.apply(i)).stageId(): s.shuffleWriteBytes() for found in [sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())] for i in range(found.size())}
+    before = stages()
+    action()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_top_k_ships_an_index_once(spark):
+    """20 query blocks meet 40 index blocks: the index does not travel with each of them."""
+    r = np.random.default_rng(8)
+    x = r.normal(0, 0.125, (4000, 64))
+    w = topk.whole_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).localCheckpoint()
+    got = []
+    sent = shuffled_bytes(spark, lambda: got.extend(topk.top_k(w, w.where("vec_id % 100 = 0"), block=100, query_block=2).collect()))
+    assert len(got) == 400 and sent < 2 * x.nbytes
+    whole = np.floor(1024 * x).astype(np.int64)
+    for q in (0, 1700, 3900):
+        best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:10]
+        assert sorted((g.rank, g.vec_id, g.score) for g in got if g.query_id == q) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+
+
+def test_top_k_blocks_of_wide_vectors_are_smaller(spark):
+    w = spark.range(40).select(F.col("id").alias("vec_id"), F.array_repeat(F.col("id"), 1 << 16).alias("x"))
+    blocks, n = topk._packed(w, 8192)
+    assert n == 5 and max(len(b.ids) // 8 for b in topk._narrow(blocks).collect()) < 25
+
+
 # --- 4 sharding
 
 
