@@ -52,17 +52,23 @@ def with_titles(chunks: DataFrame, k: int = 5, model=providers.first_sentence) -
 
 def summarised(docs: DataFrame, most: int, model=providers.first_sentence, tokens=T.n_words, rounds: int = 20) -> DataFrame:
     """(doc_id, summary): texts are cut in equal pieces of at most ``most`` tokens, summed up piece by piece and joined,
-    until one piece is left of each.  A model that does not get there in ``rounds`` is an error."""
+    until one piece is left of each.
+
+    Where a round leaves a text as it is, the model has nothing more to take out of it, and no further round would change
+    it: the summaries of its pieces, joined, are its summary, whole.  So they are for texts that still change after
+    ``rounds`` rounds."""
     now, done = docs.select("doc_id", "text"), None
-    for _ in range(rounds):
-        pieces = now.select("doc_id", F.posexplode(chunking.equal_pieces(F.coalesce("text", F.lit("")), F.coalesce(tokens(F.col("text")), F.lit(0)), most)).alias("i", "piece"))
-        pieces = pieces.select("doc_id", F.struct("i", F.coalesce(model(F.col("piece")), F.lit("")).alias("s")).alias("p"))
-        made = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
-        made = settled(made.select("doc_id", F.size("p").alias("n"), F.array_join(F.transform("p", lambda x: x["s"]), "\n").alias("text")))
-        # documents of one piece are through; the others go round again
-        out = made.where("n = 1").select("doc_id", F.col("text").alias("summary"))
+    for i in range(rounds):
+        pieces = now.select("doc_id", F.xxhash64("text").alias("was"), F.posexplode(chunking.equal_pieces(F.coalesce("text", F.lit("")), F.coalesce(tokens(F.col("text")), F.lit(0)), most)).alias("i", "piece"))
+        pieces = pieces.select("doc_id", "was", F.struct("i", F.coalesce(model(F.col("piece")), F.lit("")).alias("s")).alias("p"))
+        made = pieces.groupBy("doc_id", "was").agg(F.sort_array(F.collect_list("p")).alias("p"))
+        made = made.select("doc_id", "was", F.size("p").alias("n"), F.array_join(F.transform("p", lambda x: x["s"]), "\n").alias("text"))
+        through = (F.col("n") == 1) | (F.xxhash64("text") == F.col("was")) | F.lit(i == rounds - 1)
+        made = settled(made.select("doc_id", "text", through.alias("through")))
+        # the other documents go round again
+        out = made.where("through").select("doc_id", F.col("text").alias("summary"))
         done = out if done is None else done.unionByName(out)
-        now = made.where("n > 1").select("doc_id", "text")
+        now = made.where("not through").select("doc_id", "text")
         if not now.limit(1).count():
             return done
     raise ValueError(f"summaries do not shrink to {most} tokens in {rounds} rounds")

@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import duckdb
 import pytest
@@ -288,6 +289,16 @@ def test_judge(spark):
     assert got[1] == pytest.approx((1 + 2 / 3) / 2, abs=1e-6) and got[2] == 0
 
 
+def test_summaries_that_do_not_shrink(spark):
+    long = " ".join(["word"] * 300) + "."
+    stuck = f"{long}\n{long}"  # each half is one sentence, which is its own summary
+    rows = docs(spark, stuck, "One. Two.", None, "no mark", " ".join(f"Sentence number {i}." for i in range(900)))
+    got = {r.doc_id: r.summary for r in A.summarised(rows, 400).collect()}
+    assert got == {0: stuck, 1: "One.", 2: "", 3: "", 4: "Sentence number 0."}
+    slow = lambda c: F.left(c, F.greatest(F.lit(1), F.length(c) - 1))
+    assert [len(r.summary) for r in A.summarised(docs(spark, "ab " * 50), 20, slow, rounds=2).collect()] == [150 - 2 * 3 + 2 * 2]
+
+
 # --- retrieval
 
 
