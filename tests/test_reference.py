@@ -316,6 +316,45 @@ def test_fusion(spark):
         R.retrieve("other", None, None)
 
 
+def brute_bm25(texts, asked, k):
+    """Rankings as {item: [(doc, score)]} of texts that are a chunk each."""
+    terms = [re.findall(r"\w{2,}", t.lower()) for t in texts]
+    mean, out = sum(map(len, terms)) / len(terms), {}
+    for item, query in asked.items():
+        scores = []
+        for doc, ts in enumerate(terms):
+            both = sorted(set(re.findall(r"\w{2,}", query.lower())) & set(ts))
+            df = {w: sum(w in x for x in terms) for w in both}
+            parts = [math.log(1 + (len(terms) - df[w] + 0.5) / (df[w] + 0.5)) * ts.count(w) / (ts.count(w) + R.K1 * (1 - R.B + R.B * len(ts) / mean)) for w in both]
+            scores += [(-round(sum(parts), 6), doc)] if both else []
+        out[item] = [(doc, -score) for score, doc in sorted(scores)[:k]]
+    return out
+
+
+def rankings_of(df):
+    out = {}
+    for r in df.orderBy("item_id", "rank").collect():
+        assert r.rank == len(out.setdefault(r.item_id, [])) + 1
+        out[r.item_id].append((r.doc_id, r.score))
+    return out
+
+
+def test_bm25_shuffles_no_matches(spark, monkeypatch):
+    texts = [f"all common words {'w%d ' % (i % 7) * (i % 3 + 1)} tail {i % 5}5" for i in range(600)]
+    asked = {i: f"common words w{i} w{i + 1} missing w{i}" for i in range(7)} | {7: "", 8: "none here"}
+    chunks, queries = C.fixed_char(docs(spark, *texts), 1000, 0), spark.createDataFrame(list(asked.items()), "item_id long, query string")
+    got = R.bm25(chunks, queries, 9)
+    want = {i: x for i, x in brute_bm25(texts, asked, 9).items() if x}
+    assert rankings_of(got) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)", plan)
+    assert set(dealt) == {"item_id"}, dealt  # postings and their products with queries stay where the chunks are
+    monkeypatch.setattr(R, "ASKED_AT_ONCE", 2)
+    monkeypatch.setattr(R, "CHUNKS_AT_ONCE", 3)
+    assert rankings_of(R.bm25(chunks.repartition(3), queries, 9)) == want
+    assert R.bm25(chunks, queries.limit(0), 9).count() == 0
+
+
 def test_dense_is_exact_in_blocks(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     got = R.dense(v, v, 3)
