@@ -355,6 +355,18 @@ def test_bm25_shuffles_no_matches(spark, monkeypatch):
     assert R.bm25(chunks, queries.limit(0), 9).count() == 0
 
 
+def test_hybrid_takes_terms_once(spark, monkeypatch):
+    """Both lists come from one pass over the chunks' terms, and fuse to what they fuse to by themselves."""
+    import spanloom.plans.queries as Q
+
+    taken = []
+    monkeypatch.setattr(R, "analysed", lambda text, stop=(), own=R.analysed: taken.append(text) or own(text, stop))
+    got = Q.hybrid_rrf(spark, SF)
+    assert len(taken) == 2  # the items' and the chunks'
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan and got.count() > 0
+
+
 def test_dense_is_exact_in_blocks(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     got = R.dense(v, v, 3)
