@@ -367,6 +367,15 @@ def test_hybrid_takes_terms_once(spark, monkeypatch):
     assert "hashpartitioning(term" not in plan and got.count() > 0
 
 
+def test_rerank_leaves_chunks_where_they_are(spark):
+    chunks = C.fixed_char(docs(spark, *(f"cat number {i}" for i in range(50))), 1000, 0)
+    queries = spark.createDataFrame([(1, "cat 7x number")], "item_id long, query string")
+    got = R.reranked(R.bm25(chunks, queries, 5), chunks, queries, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan, plan
+    assert [(r.rank, r.doc_id) for r in got.orderBy("rank").collect()] == [(1, 0), (2, 1), (3, 2)]
+
+
 def test_dense_is_exact_in_blocks(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     got = R.dense(v, v, 3)
