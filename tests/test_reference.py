@@ -376,6 +376,16 @@ def test_rerank_leaves_chunks_where_they_are(spark):
     assert [(r.rank, r.doc_id) for r in got.orderBy("rank").collect()] == [(1, 0), (2, 1), (3, 2)]
 
 
+def test_show_ranking_marks_evidence(spark):
+    import spanloom.plans.queries as Q
+
+    rows = Q.show_ranking(spark, SF).collect()
+    there = {(r.item_id, r.doc_id): (r.start, r.end) for r in Q._evidence(spark, SF).collect()}
+    hit = lambda r: (e := there.get((r.item_id, r.doc_id))) is not None and r.start < e[1] and e[0] < r.end
+    assert any(r.evidence for r in rows) and all(r.evidence == hit(r) for r in rows)
+    assert all(r.question and r.score > 0 and r.start < r.end for r in rows)
+
+
 def test_dense_is_exact_in_blocks(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     got = R.dense(v, v, 3)
