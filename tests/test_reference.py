@@ -289,6 +289,31 @@ def test_judge(spark):
     assert got[1] == pytest.approx((1 + 2 / 3) / 2, abs=1e-6) and got[2] == 0
 
 
+def test_chunks_leave_in_bounded_batches(monkeypatch):
+    """A batch of many documents, or one long document, does not become one batch of all its chunks."""
+    import pyarrow as pa
+
+    taken = []
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            taken.append((run, schema))
+
+    monkeypatch.setattr(C, "HELD", 1000)
+    texts = ["ab " * 400, None, "", "x " * 30] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    for chunks in (C.fixed_char(Docs(), 100, 20), C.fixed_char(Docs(), 100, 20, texts=False)):
+        run, schema = taken.pop()
+        out = list(run(iter([batch])))
+        assert len(out) > 10 and max(b.nbytes for b in out) < 8000
+        assert ("chunk_text" in schema) == ("chunk_text" in out[0].schema.names)
+        spans = [(r["doc_id"], r["start"], r["end"]) for b in out for r in b.to_pylist()]
+        assert spans == [(d, s, e) for d, t in enumerate(texts) if t for s, e in reference_windows(t, 100, 80)]
+
+
 def test_summaries_that_do_not_shrink(spark):
     long = " ".join(["word"] * 300) + "."
     stuck = f"{long}\n{long}"  # each half is one sentence, which is its own summary
