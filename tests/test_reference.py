@@ -411,6 +411,15 @@ def test_show_ranking_marks_evidence(spark):
     assert all(r.question and r.score > 0 and r.start < r.end for r in rows)
 
 
+def test_metrics_keep_no_texts(spark):
+    import spanloom.plans.queries as Q
+
+    spark.catalog.clearCache()
+    plan = Q.eval_per_question(spark, SF)._jdf.queryExecution().withCachedData().toString()
+    kept = re.findall(r"InMemoryRelation \[([^\]]*)\]", plan)
+    assert kept and not any("chunk_text" in x for x in kept), kept
+
+
 def test_dense_is_exact_in_blocks(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     got = R.dense(v, v, 3)
