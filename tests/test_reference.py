@@ -314,6 +314,24 @@ def test_chunks_leave_in_bounded_batches(monkeypatch):
         assert spans == [(d, s, e) for d, t in enumerate(texts) if t for s, e in reference_windows(t, 100, 80)]
 
 
+@pytest.mark.parametrize("before,after", [(1, 1), (0, 2), (3, 0)])
+def test_vectors_of_windows_add_up(before, after):
+    from spanloom.functions import providers
+    from spanloom.operators import semantic as V
+
+    text, calls = "One two. Two three! ΣΑΣ. four\nfive FIVE five? six", []
+    spans = C.sentence_spans(text, True)
+
+    def embed(texts):
+        calls.append(sum(map(len, texts)))
+        return providers.hashed_words(texts)
+
+    plain = V.window_vectors(text, spans, before, after, embed)
+    embed.adds_up = True
+    assert (V.window_vectors(text, spans, before, after, embed) == plain).all()
+    assert calls[1] <= len(text) < calls[0]  # each character is embedded once
+
+
 def test_summaries_that_do_not_shrink(spark):
     long = " ".join(["word"] * 300) + "."
     stuck = f"{long}\n{long}"  # each half is one sentence, which is its own summary
