@@ -651,6 +651,15 @@ def test_language(spark):
     assert right / n > 0.9, (right, n)
 
 
+def test_language_takes_words_once(spark):
+    from spanloom.functions import language as N
+
+    plan = docs(spark, "le chat").select(N.detected(F.col("text")).alias("found"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    tie = docs(spark, "le der", "der le", "the le der", "THE The le", "x" * 2999 + " the")
+    assert [r[0] for r in tie.orderBy("doc_id").select(N.detected(F.col("text"))).collect()] == ["fr", "fr", "en", "en", "en"]
+
+
 def test_longest_alias(spark):
     rows = spark.createDataFrame([(1, "Anan and ANANAS, anan", ["anan", "Ananas", "x", None, ""]), (2, "aa" * 60, ["A"]), (3, "none", ["zz"]), (4, None, ["a"]), (5, "aaaa", ["AA"])], "id long, text string, aliases array<string>")
     got = {r.id: (r.alias, list(r.starts)) for r in L.longest_alias(rows).collect()}
