@@ -429,6 +429,14 @@ def test_show_ranking_marks_evidence(spark):
     assert all(r.question and r.score > 0 and r.start < r.end for r in rows)
 
 
+def test_term_stats_shuffle_terms_alone(spark):
+    import spanloom.plans.queries as Q
+
+    plan = Q.bm25_term_stats(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(dealt) == 1 and re.fullmatch(r"term#\d+, \d+", dealt[0]), dealt
+
+
 def test_metrics_keep_no_texts(spark):
     import spanloom.plans.queries as Q
 
