@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import providers
 from ..functions import text as T
@@ -70,17 +72,42 @@ def summarised(docs: DataFrame, most: int, model=providers.first_sentence, token
         done = out if done is None else done.unionByName(out)
         now = made.where("not through").select("doc_id", "text")
         if not now.limit(1).count():
-            return done
-    raise ValueError(f"summaries do not shrink to {most} tokens in {rounds} rounds")
+            break
+    return done
 
 
 def with_context(chunks: DataFrame, docs: DataFrame, most: int = 8000, model=providers.first_sentence) -> DataFrame:
-    """Adds ``context``: a note on the document around the chunk; long documents are shown as a window."""
-    rows = chunks.join(docs.select("doc_id", "text"), "doc_id")
-    n, size = T.n_words(F.col("text")), F.length("text")
-    width = F.when(n > most, F.floor(size * most / n)).otherwise(size).cast("int")
-    lo, hi = chunking.context_window(size, F.col("start"), F.col("end"), width)
-    return rows.withColumn("context", model(T.cut(F.col("text"), lo, hi))).drop("text")
+    """Adds ``context``: a note on the document around the chunk; long documents are shown as a window.
+
+    A document meets its chunks once, as a list, and windows are sliced from its text in turn: no chunk carries the whole
+    text along."""
+    columns = chunks.columns
+    names = [c for c in columns if c != "doc_id"]
+    texts = docs.select("doc_id", "text", F.coalesce(T.n_words(F.col("text")), F.lit(0)).alias("words"))
+    rows = chunks.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("own")).join(texts, "doc_id").select("doc_id", "own", "text", "words")
+
+    def run(batches):
+        for b in batches:
+            at, every = b.column(1).offsets.to_pylist(), b.column(1).values
+            cols = dict(zip(names, every.flatten()))
+            starts, ends = (cols[c].to_numpy() for c in ("start", "end"))
+            for r in range(b.num_rows):
+                text, words, lo = b.column(2)[r].as_py(), b.column(3)[r].as_py(), at[r]
+                n = len(text or "")
+                width = int(n * most / words) if words > most else n
+                shown: list[str | None] = []
+                held = 0
+                for j in range(lo, at[r + 1]):
+                    first = max(0, min((int(starts[j]) + int(ends[j]) - width) // 2, n - width))
+                    shown.append(None if text is None else text[first : min(n, first + width)])
+                    held += width
+                    if held >= chunking.HELD or j + 1 == at[r + 1]:
+                        made = {k: c.slice(lo, j + 1 - lo) for k, c in cols.items()} | {"doc_id": pa.repeat(b.column(0)[r], j + 1 - lo)}
+                        yield pa.RecordBatch.from_arrays([*(made[c] for c in columns), pa.array(shown, pa.string())], [*columns, "window"])
+                        shown, held, lo = [], 0, j + 1
+
+    schema = StructType([*chunks.schema.fields, StructField("window", StringType())])
+    return rows.mapInArrow(run, schema).withColumn("context", model(F.col("window"))).drop("window")
 
 
 def updated(chunks: DataFrame, **changes: Column) -> DataFrame:

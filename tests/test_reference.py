@@ -342,6 +342,22 @@ def test_summaries_that_do_not_shrink(spark):
     assert [len(r.summary) for r in A.summarised(docs(spark, "ab " * 50), 20, slow, rounds=2).collect()] == [150 - 2 * 3 + 2 * 2]
 
 
+def test_contexts_carry_no_whole_texts(spark, monkeypatch):
+    text = " ".join(f"Word{i}." for i in range(60))
+    rows = docs(spark, text, "Short one. Two", None)
+    chunks = C.fixed_char(rows, 40, 0)
+    monkeypatch.setattr(C, "HELD", 100)
+    made = A.with_context(chunks, rows, 10, lambda c: c)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("collect_list")  # a document's chunks are one row where they meet its text
+    n = len(text)
+    width = int(n * 10 / 60)
+    for r in made.orderBy("doc_id", "chunk_index").collect():
+        lo = max(0, min((r.start + r.end - width) // 2, n - width))
+        assert r.context == (text[lo : lo + width] if r.doc_id == 0 else "Short one. Two")
+    assert made.count() == chunks.count() and made.columns == [*chunks.columns, "context"]
+
+
 # --- retrieval
 
 
